@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import near_dedup
+from quillon.llm import near_dedup, toxicity
 
 
 def queries():
     return {
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
