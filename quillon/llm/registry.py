@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quillon.llm import near_dedup, toxicity
+from quillon.llm import line_dedup, mixing, near_dedup, packing, toxicity
 
 
 def queries():
     return {
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
