@@ -14,8 +14,10 @@ No bucket is expanded into all its pairs. First, each member meets the
 bucket's smallest id only; the confirmed links' components then label the
 members. Second, members of other labels than the bucket's commonest meet all
 members of different labels. Pairs of one label need no check: they are
-already connected. So every candidate link between components is tested, and
-a bucket of n copies costs about n comparisons.
+already connected. Small buckets do so by a join behind the sketch test, large
+ones in blocks of at most BLOCK by BLOCK members that a task compares as bit
+matrices, so that only links leave it. Every candidate link between components
+is tested, and a bucket of n copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from quillon.llm.components import components
 BANDS, ROWS, SKETCH_BITS, LEAST_ESTIMATE = 32, 4, 512, 0.56
 SAMPLES = BANDS * ROWS
 CHUNK = 1 << 20
+#: Members of a block, and the comparisons up to which a bucket is joined whole.
+BLOCK, SMALL_BUCKET = 256, 1024
 
 
 def signatures(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
@@ -131,6 +135,57 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     return good
 
 
+def _blocks(pdf):
+    """Links between the minor members of one block and the members of another."""
+    x, y = pdf[pdf["minor"]], pdf[~pdf["minor"]]
+    out = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())}).to_pandas()
+    if not len(x) or not len(y):
+        return out
+    xs, ys = [[np.asarray(v).view(np.uint64) for v in t["shingles"]] for t in (x, y)]
+    vocabulary = np.unique(np.concatenate(xs))
+    words = -(-len(vocabulary) // 64)
+
+    def bits(sets):
+        m = np.zeros((len(sets), words * 64), bool)
+        for row, v in zip(m, sets):
+            at = np.searchsorted(vocabulary, v)
+            at[at == len(vocabulary)] = 0
+            row[at[vocabulary[at] == v]] = True
+        return np.packbits(m, axis=1).view(np.uint64)
+
+    mx, my = bits(xs), bits(ys)
+    ny, ids, labels = np.array([len(v) for v in ys]), y["id"].to_numpy(), y["label"].to_numpy()
+    found = []
+    for row, own, n, label in zip(mx, x["id"], map(len, xs), x["label"]):
+        both = np.bitwise_count(my & row).sum(axis=1, dtype=np.int64)
+        linked = np.flatnonzero((100 * both >= 75 * (n + ny - both)) & (labels != label))
+        _, first = np.unique(labels[linked], return_index=True)  # one link connects two components
+        found += [(min(own, k), max(own, k)) for k in ids[linked[first]].tolist()]
+    return out if not found else out.__class__(found, columns=["a", "b"])
+
+
+def _across(labelled: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members (band, id, label) of a bucket whose labels differ."""
+    counts = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
+    per = counts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    per = scratch.keep(per.select("band", F.col("m.label").alias("top"), "n", (F.col("n") - F.col("m.c")).alias("minors")))
+    small = per.where(f"n * minors <= {SMALL_BUCKET}")
+    few = scratch.keep(labelled.join(small.select("band", "top"), "band").join(sketches, "id"))
+    pairs = few.where("label <> top").alias("x").join(few.alias("y"), F.expr(f"x.band = y.band and x.label <> y.label and {_alike('x', 'y')}"))
+    some = _confirmed(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), texts, scratch)
+
+    large = per.where(f"n * minors > {SMALL_BUCKET}").withColumn("xn", F.ceil(F.col("minors") / BLOCK).cast("int")).withColumn("yn", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = labelled.join(large, "band").withColumn("spot", F.xxhash64("id", "band"))
+    x = many.where("label <> top").select("band", "id", "label", F.lit(True).alias("minor"), F.expr("cast(pmod(spot, xn) as int)").alias("xb"), F.explode(F.expr("sequence(0, yn - 1)")).alias("yb"))
+    y = many.select("band", "id", "label", F.lit(False).alias("minor"), F.explode(F.expr("sequence(0, xn - 1)")).alias("xb"), F.expr("cast(pmod(spot, yn) as int)").alias("yb"))
+    spread = scratch.keep(x.unionAll(y))
+    sets = scratch.keep(texts.join(spread.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"))
+    found = spread.join(sets, "id").groupBy("band", "xb", "yb").applyInPandas(_blocks, "a bigint, b bigint").distinct()
+    out = scratch.keep(some.unionAll(found))
+    scratch.drop(per, few, spread, sets)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -142,40 +197,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and is kept, with a null component. Other columns are ignored; an empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     features = scratch.keep(texts.mapInArrow(_features, _FEATURES))
     full = features.where("n_shingles > 0 and id is not null")
-    classes = full.groupBy("set_hi", "set_lo", F.col("n_shingles").alias("n")).agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    classes = scratch.keep(classes)
+    classes = scratch.keep(full.groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep")))
     # an id whose rows have several texts joins their classes
-    same_id = full.groupBy("id").agg(F.count("*").alias("c"), F.min("set_hi").alias("x"), F.max("set_hi").alias("y")).where("c > 1 and x <> y")
-    repeated = scratch.keep(full.join(same_id.select("id"), "id", "left_semi").join(classes.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
-    reps = full.join(classes.select(F.col("rep").alias("id"), F.col("set_hi"), F.col("set_lo")), ["id", "set_hi", "set_lo"], "left_semi")
-    member = reps.dropDuplicates(["id", "set_hi", "set_lo"]).select(F.explode("bands").alias("band"), "id", F.col("n_shingles").alias("n"), "sketch")
-    leaders = member.groupBy("band").agg(F.min(F.struct("id", "n", "sketch")).alias("l"), F.max("id").alias("last")).where("l.id < last").select("band", "l.*")
-    shared = scratch.keep(member.join(leaders.select("band"), "band", "left_semi"))
-    leaders = leaders.select("band", F.col("id").alias("lead"), "n", "sketch")
-    first = leaders.alias("x").join(shared.alias("y"), F.expr(f"x.band = y.band and x.lead < y.id and {_alike('x', 'y')}"))
-    links = _confirmed(first.select(F.col("x.lead").alias("a"), F.col("y.id").alias("b")).distinct(), texts, scratch)
-    links = links.unionAll(repeated)
+    same_id = full.groupBy("id").agg(F.min("set_hi").alias("x"), F.max("set_hi").alias("y")).where("x <> y").select("id")
+    repeated = full.join(same_id, "id", "left_semi").join(classes, ["set_hi", "set_lo"])
+    repeated = scratch.keep(repeated.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+    reps = full.join(classes.withColumnRenamed("rep", "id"), ["id", "set_hi", "set_lo"], "left_semi")
+    sketches = scratch.keep(reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands"))
+    member = sketches.select(F.explode("bands").alias("band"), "id")
+    sketches = sketches.drop("bands")
+    leaders = member.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
+    shared = scratch.keep(member.join(leaders, "band").distinct())
+    first = shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    first = first.join(sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y")), "b")
+    links = _confirmed(first.where(_alike("x", "y")).select("a", "b").distinct(), texts, scratch).unionAll(repeated)
     labels = components(links, scratch)
 
-    labelled = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = scratch.keep(labelled)
-    counts = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
-    most = counts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("m.label").alias("top"))
-    minor = scratch.keep(labelled.join(most, "band").where("label <> top").drop("top"))
-    second = minor.alias("x").join(
-        labelled.alias("y"),
-        F.expr(f"x.band = y.band and x.label <> y.label and {_alike('x', 'y')}"),
-    )
-    second = second.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = _confirmed(second, texts, scratch)
+    labelled = scratch.keep(shared.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")))
+    more = _across(labelled, sketches, texts, scratch)
     if not more.isEmpty():
         labels = components(links.unionAll(more), scratch)
-    scratch.drop(shared, labelled, minor)
+    scratch.drop(shared, labelled)
 
     of_class = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
