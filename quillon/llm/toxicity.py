@@ -171,3 +171,17 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_col="doc
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, common.read(spark, sf_dir, "labels")))
+
+
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], text_col="text") -> DataFrame:
+    """docs, all columns, without the rows whose score is 0.5 or more."""
+    score, place = scorer(*model), docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            text = batch.column(place)
+            scored = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), text], names=["id", "text"])
+            scores = np.concatenate([s.column(1).to_numpy() for s in score([scored])] or [np.zeros(0)])
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
