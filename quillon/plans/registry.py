@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from quillon.plans import record_queries, rollup_queries
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = rollup_queries.p95_by_hour
 
 
-def queries():
-    return {}
+def _all() -> dict:
+    return rollup_queries.build() | record_queries.build()
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return {name: run for name, (run, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}
