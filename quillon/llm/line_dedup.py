@@ -133,7 +133,7 @@ def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", min_wo
     prints = scan.select("id", "th", F.inline("prints"))
     shared = prints.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     wins = scratch.keep(prints.join(shared, "h", "left_semi").select("id", "th", F.inline("wins")))
-    first = wins.groupBy("k").agg(F.min(F.struct("id", "th", "s")).alias("f"), F.max(F.struct("id", "th", "s")).alias("l")).where("f < l").select("k", F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.s").alias("fs"))
+    first = scratch.keep(wins.groupBy("k").agg(F.min(F.struct("id", "th", "s")).alias("f"), F.max(F.struct("id", "th", "s")).alias("l")).where("f < l").select("k", F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.s").alias("fs")))  # a written table, so that the join on a hot window can be split
     matches = wins.join(first, "k").where("struct(id, th, s) > struct(fid, fth, fs)")
     runs = matches.groupBy("id", "th", "fid", "fth", (F.col("s") - F.col("fs")).alias("shift")).agg(F.collect_set(F.struct("s", "e")).alias("seeds"))
     runs = scratch.keep(runs)
@@ -142,7 +142,7 @@ def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", min_wo
     paired = runs.join(lines, ["id", "th"]).join(lines.select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("lines").alias("first")), ["fid", "fth"])
     cut = paired.select("id", "th", "shift", "seeds", "lines", "first").mapInArrow(_extend, "id bigint, th bigint, cuts array<struct<s int, e int>>")
     cut = scratch.keep(cut.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts")))
-    scratch.drop(scan, wins, runs, lines)
+    scratch.drop(scan, wins, first, runs, lines)
 
     joined = rows.join(cut, ["id", "th"], "left")
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists(F.col("cuts"), lambda c: (i >= c["s"]) & (i < c["e"])))
