@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = scratch.keep(reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands"))
     member = sketches.select(F.explode("bands").alias("band"), "id")
     sketches = sketches.drop("bands")
-    leaders = member.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
+    leaders = scratch.keep(member.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead"))  # a written table, so that the join on a hot band can be split
     shared = scratch.keep(member.join(leaders, "band").distinct())
     first = shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     first = first.join(sketches.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y")), "b")
