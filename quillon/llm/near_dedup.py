@@ -35,6 +35,9 @@ SAMPLES = BANDS * ROWS
 CHUNK = 1 << 20
 #: Members of a block, and the comparisons up to which a bucket is joined whole.
 BLOCK, SMALL_BUCKET = 256, 1024
+#: Up to so many ids (8 MB) go to every task to pick their texts in place;
+#: more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def signatures(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
@@ -121,11 +124,18 @@ def _alike(x: str, y: str) -> str:
     return f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n) and {ones} <= {estimate_limit()}"
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, shingles) of the texts with these distinct ids, written once."""
+    ids = scratch.keep(ids)
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return scratch.keep(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Those pairs (a, b) for which 100 * |A n B| >= 75 * |A u B| on full sets."""
     pairs = scratch.keep(pairs)
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.keep(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"))
+    sets = _sets_of(wanted, texts, scratch)
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("s", "t")))
@@ -179,7 +189,7 @@ def _across(labelled: DataFrame, sketches: DataFrame, texts: DataFrame, scratch:
     x = many.where("label <> top").select("band", "id", "label", F.lit(True).alias("minor"), F.expr("cast(pmod(spot, xn) as int)").alias("xb"), F.explode(F.expr("sequence(0, yn - 1)")).alias("yb"))
     y = many.select("band", "id", "label", F.lit(False).alias("minor"), F.explode(F.expr("sequence(0, xn - 1)")).alias("xb"), F.expr("cast(pmod(spot, yn) as int)").alias("yb"))
     spread = scratch.keep(x.unionAll(y))
-    sets = scratch.keep(texts.join(spread.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"))
+    sets = _sets_of(spread.select("id").distinct(), texts, scratch)
     found = spread.join(sets, "id").groupBy("band", "xb", "yb").applyInPandas(_blocks, "a bigint, b bigint").distinct()
     out = scratch.keep(some.unionAll(found))
     scratch.drop(per, few, spread, sets)
