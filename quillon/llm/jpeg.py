@@ -24,7 +24,7 @@ from quillon.llm import common
 
 ROW = 576  # blocks in a row, and the unit payloads are padded to
 MOST_ROWS = 65535 // 8
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 # Lengths of the format's usual luminance DC codes, for categories 0 to 11 (fixed values).
 DC_CODES_OF_LENGTH = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
