@@ -144,7 +144,8 @@ def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", min_wo
     cut = scratch.keep(cut.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts")))
     scratch.drop(scan, wins, first, runs, lines)
 
-    joined = rows.join(cut, ["id", "th"], "left")
+    # cuts grow with the corpus, so texts meet them by a shuffle at every size
+    joined = rows.join(cut.hint("merge"), ["id", "th"], "left")
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists(F.col("cuts"), lambda c: (i >= c["s"]) & (i < c["e"])))
     new = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(kept, "\n"))
     out = [(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
