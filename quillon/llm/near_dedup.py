@@ -35,9 +35,6 @@ SAMPLES = BANDS * ROWS
 CHUNK = 1 << 20
 #: Members of a block, and the comparisons up to which a bucket is joined whole.
 BLOCK, SMALL_BUCKET = 256, 1024
-#: Up to so many ids (8 MB) go to every task to pick their texts in place;
-#: more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def signatures(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
@@ -125,10 +122,12 @@ def _alike(x: str, y: str) -> str:
 
 
 def _sets_of(ids: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, shingles) of the texts with these distinct ids, written once."""
+    """(id, shingles) of the texts with these distinct ids, written once.
+
+    Candidates grow with the corpus, so texts meet them by a shuffle at every size.
+    """
     ids = scratch.keep(ids)
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return scratch.keep(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"))
+    return scratch.keep(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
