@@ -69,7 +69,6 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_hot_cloud_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 8)  # the block path takes nearly all buckets
-    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     rng = random.Random(5)
     base = words(rng, 120).split()
     texts = []
