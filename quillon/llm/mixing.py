@@ -88,7 +88,8 @@ def cell_probabilities(cells: DataFrame, scratch: Scratch, temperature: float =
     ratio = rake(np.array(codes), tokens, targets, sweeps) / tokens
     p = np.round(ratio / ratio.max(), 12)
     data = [(*(r[d] for d in DIMENSIONS), float(x)) for r, x in zip(rows, p)]
-    return cells.sparkSession.createDataFrame(data, "source string, lang string, topic string, p double")
+    # at most driver_cells short rows, so that no text moves to meet its cell
+    return F.broadcast(cells.sparkSession.createDataFrame(data, "source string, lang string, topic string, p double"))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", temperature: float = TEMPERATURE, sweeps: int = SWEEPS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
