@@ -115,29 +115,36 @@ def slices(offsets: np.ndarray, most: int):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some rows, A-Z lower-cased, and each row's first word.
-
-    A polynomial over a word's bytes, taken from one running sum over all rows
-    and scrambled; equal words have equal hashes wherever they stand.
-    """
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words of some rows, and the bytes after their last."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = _IS_WORD[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
     first = inside & ~before
-    starts = np.flatnonzero(first)
     ends = np.empty(n, bool)
     ends[-1] = True
     ends[:-1] = ~inside[1:] | first[1:]
-    ends = np.flatnonzero(inside & ends) + 1
+    return np.flatnonzero(first), np.flatnonzero(inside & ends) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some rows, A-Z lower-cased if fold, and each row's first word.
+
+    A polynomial over a word's bytes, taken from one running sum over all rows
+    and scrambled; equal words have equal hashes wherever they stand.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = word_spans(data, offsets)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
+    np.cumsum(((_LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(n, "down")[starts]), np.searchsorted(starts, offsets)
 
 

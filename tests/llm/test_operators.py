@@ -196,6 +196,40 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.drop_repeated_runs(table(spark, [])).count() == 0
 
 
+def test_passages_inside_lines_go(spark, tmp_path):
+    rng = random.Random(12)
+    passage = [f"é{k}" for k in words(rng, 60).split()]
+    texts = [None, "", words(rng, 30) + " " + " ".join(passage) + " " + words(rng, 70)]
+    for k in range(8):  # other lines, other breaks, at either end
+        body = words(rng, 40).split()
+        body[(at := rng.randrange(41)) : at] = passage[k : k + 52]
+        texts.append("\n".join(" ".join(body[i : i + 9 + k]) for i in range(0, len(body), 9 + k)))
+    texts += [" ".join(passage), "kept " + " ".join(passage[:49]), texts[2]]
+    docs = table(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()}
+    seen, expected = set(), []
+    for t in texts:  # by direct comparison of all runs of 50 words
+        own = (t or "").split()
+        cut = set()
+        for i in range(len(own) - 49):
+            run = tuple(own[i : i + 50])
+            if run in seen:
+                cut |= set(range(i, i + 50))
+            seen.add(run)
+        expected.append([w for i, w in enumerate(own) if i not in cut])
+    assert [(rows[i].text or "").split() for i in range(len(texts))] == expected
+    assert rows[0].text is None and rows[len(texts) - 3].text == rows[len(texts) - 1].text == "" and rows[len(texts) - 1].lines_deleted == 1
+    assert len(expected[3]) == 40 and rows[2].text == texts[2]
+    assert line_dedup.drop_repeated_passages(table(spark, [])).count() == 0
+
+
+def test_erase_keeps_line_breaks():
+    cases = [("a\nR r\nb", "a\nb"), ("a R r b", "a b"), ("a R r\nb", "a\nb"), ("a\nR r b", "a\nb"), ("R r\nb", "b"), ("a\nR r", "a"), ("a R\nr b", "a b"), ("a\n\n  R r\n\nb", "a\n\nb"), (" R r ", "")]
+    for text, left in cases:
+        assert line_dedup.erase(text, [(text.index("R"), text.index("r") + 1)]) == left
+
+
 def test_url_filter(spark):
     cases = [
         ("https://A.Example.COM/en/7/x?q=/en/", ("a.example.com", "/en/7/x", "example.com/en/7", "allow")), ("http://example.com/en/8", ("example.com", "/en/8", "com/en/", "block")),
