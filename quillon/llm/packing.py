@@ -9,6 +9,7 @@ the counts allow; tasks then look up their pieces' places by length and rank.
 from __future__ import annotations
 
 import bisect
+import random
 import zlib
 
 import numpy as np
@@ -25,6 +26,8 @@ CAPACITY, VOCABULARY = 2048, "word_bpe_49k.json"
 FILLINGS, NODES = 600, 20_000
 #: The exact search runs where the pieces shorter than a sequence are so few.
 EXACT_PIECES = 60
+#: Tries of the repair of a larger packing, and the search's nodes in each.
+REPAIRS, REPAIR_NODES = 200, 60
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how often, ((length, how many), ...)
 
@@ -179,21 +182,69 @@ def exact(counts: dict[int, int], capacity: int, incumbent: list[Pattern], nodes
     return best
 
 
+def _waste(shape: tuple[tuple[int, int], ...], capacity: int) -> int:
+    return capacity - sum(size * n for size, n in shape)
+
+
+def repair(patterns: list[Pattern], counts: dict[int, int], capacity: int, tries: int = REPAIRS) -> list[Pattern]:
+    """Packs handfuls of sequences anew, each as often as its patterns allow.
+
+    A handful has at most EXACT_PIECES pieces, drawn by waste with a fixed
+    seed; the exact search replaces it where it needs fewer sequences.
+    """
+    have: dict[tuple, int] = {}
+    for n, shape in patterns:
+        have[shape] = have.get(shape, 0) + n
+    used, bound, rng = _used(patterns), lower_bound(counts, capacity), random.Random(0)
+    for _ in range(tries):
+        if used <= bound:
+            break
+        shapes = list(have)
+        weights = [have[x] * _waste(x, capacity) for x in shapes]
+        if not any(weights):
+            break
+        taken: dict[tuple, int] = {}
+        pieces: dict[int, int] = {}
+        for shape in rng.choices(shapes, weights, k=EXACT_PIECES):
+            if taken.get(shape, 0) < have[shape] and sum(pieces.values()) + sum(n for _, n in shape) <= EXACT_PIECES:
+                taken[shape] = taken.get(shape, 0) + 1
+                for size, n in shape:
+                    pieces[size] = pieces.get(size, 0) + n
+        before = sum(taken.values())
+        if lower_bound(pieces, capacity) >= before:
+            continue
+        anew = min(best_fit(pieces, capacity), complete(pieces, capacity), key=_used)
+        anew = exact(pieces, capacity, anew, REPAIR_NODES)
+        if _used(anew) >= before:
+            continue
+        times = min(have[x] // n for x, n in taken.items())
+        for x, n in taken.items():
+            have[x] -= n * times
+            if not have[x]:
+                del have[x]
+        for n, x in anew:
+            have[x] = have.get(x, 0) + n * times
+        used -= (before - _used(anew)) * times
+    return [(n, x) for x, n in have.items()]
+
+
 def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that together hold each length exactly as often as counted.
 
-    The better of best fit and bin completion; few pieces, or a gap of the
-    incumbent to the lower bound, call the exact search within its node limit.
+    The better of best fit and bin completion. A gap to the lower bound calls
+    the exact search within its limits: over all pieces, where those shorter
+    than a sequence are few, and else over handfuls of sequences.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     if not counts:
         return []
+    full = counts.pop(capacity, 0)
     best = min(best_fit(counts, capacity), complete(counts, capacity), key=_used)
-    if _used(best) > lower_bound(counts, capacity) and sum(counts.values()) <= EXACT_PIECES:
-        best = exact(counts, capacity, best)
-    return best
+    if _used(best) > lower_bound(counts, capacity):
+        best = exact(counts, capacity, best) if sum(counts.values()) <= EXACT_PIECES else repair(best, counts, capacity)
+    return [*best, *[(full, ((capacity, 1),))] * bool(full)]
 
 
 def layout(patterns: list[Pattern]) -> dict[int, np.ndarray]:

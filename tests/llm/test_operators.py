@@ -289,6 +289,20 @@ def test_packing_is_optimal_on_small_inputs():
         assert used == counts and sum(n for n, _ in patterns) == brute_bins(list(counts.elements()), capacity)
 
 
+def test_packing_closes_gaps_on_many_pieces():
+    rng = random.Random(1)
+    counts = collections.Counter(rng.randint(307, 819) for _ in range(3000))
+    counts[2048] = 5
+    patterns = packing.pack(counts, 2048)
+    held = collections.Counter()
+    for n, shape in patterns:
+        assert sum(a * b for a, b in shape) <= 2048
+        for size, k in shape:
+            held[size] += n * k
+    greedy = min(sum(n for n, _ in f(counts, 2048)) for f in (packing.best_fit, packing.complete))
+    assert held == counts and packing.lower_bound(counts, 2048) <= sum(n for n, _ in patterns) < greedy
+
+
 def test_packed_documents(spark):
     texts = [None, "", "Hello, don't stop", words(random.Random(6), 6000), "日本語 Σας", "same text", "same text"]
     rows = packing.pack_documents(table(spark, texts)).collect()
