@@ -79,13 +79,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(n, shape) for bins in open_bins.values() for shape, n in bins.items()]
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int):
+def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int, every: bool = False, spent: list[int] | None = None):
     """Undominated multisets of sizes for a room, as (waste, ((size, n), ...)).
 
     sizes are those with a count, ascending. A filling counts only if no spare
     piece fits into its waste, and no member can be swapped for a larger spare
     one. Larger members come first, so the first fillings waste little; the
-    search ends at no waste or after `most` steps.
+    search ends after `most` steps, and at no waste unless `every` is set. Then
+    only a piece that fills what is left is taken alone, as any others there
+    could be swapped for it. spent, if given, counts the steps.
     """
     steps, found = 0, {}
     stack = [(room, len(sizes), ())]
@@ -101,11 +103,11 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int):
                 continue
             swaps = (bisect.bisect_right(spare, s) for s in used)
             if any(k < len(spare) and spare[k] <= s + rest for k, s in zip(swaps, used)):
-                if rest or not found:
+                if not every:
                     found.setdefault((rest, chosen))
                 continue
             found.setdefault((rest, chosen))
-            if rest == 0:
+            if rest == 0 and not every:
                 break
             continue
         size = sizes[i - 1]
@@ -113,10 +115,14 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int):
         fits = bisect.bisect_left(sizes, rest)
         if fits < i and sizes[fits] == rest:  # one piece ends it without waste
             found.setdefault((0, (*chosen, (rest, 1))))
+            if every:
+                continue
             break
         stack.append((rest, i - 1, chosen))
         for k in range(1, n + 1):
             stack.append((rest - k * size, i - 1, (*chosen, (size, k))))
+    if spent is not None:
+        spent[0] += steps
     return sorted(found, key=lambda f: f[0])
 
 
@@ -154,14 +160,17 @@ def exact(counts: dict[int, int], capacity: int, incumbent: list[Pattern], nodes
 
     A branch is cut where its waste so far leaves no packing smaller than the
     incumbent: bins * capacity - total is all the waste a better one may have.
+    All undominated fillings are tried; the result is the least unless the
+    limit of nodes, or of FILLINGS steps a node on average and 100 times as
+    many in one, ends the search.
     """
     total = sum(k * v for k, v in counts.items())
-    bound, best, seen = lower_bound(counts, capacity), incumbent, [0]
+    bound, best, seen, spent = lower_bound(counts, capacity), incumbent, [0], [0]
 
     def go(left: dict[int, int], bins: list, waste: int):
         nonlocal best
         seen[0] += 1
-        if _used(best) <= bound or seen[0] > nodes:
+        if _used(best) <= bound or seen[0] > nodes or spent[0] >= FILLINGS * nodes:
             return
         if not left:
             if len(bins) < _used(best):
@@ -172,7 +181,7 @@ def exact(counts: dict[int, int], capacity: int, incumbent: list[Pattern], nodes
             return
         top = max(left)
         rest = {k: v - (k == top) for k, v in left.items() if v > (k == top)}
-        for lost, shape in fillings(rest, sorted(rest), capacity - top, FILLINGS) or [(capacity - top, ())]:
+        for lost, shape in fillings(rest, sorted(rest), capacity - top, min(FILLINGS * nodes - spent[0], 100 * FILLINGS), True, spent) or [(capacity - top, ())]:
             if lost > spare:
                 break
             used = dict(shape)

@@ -303,6 +303,11 @@ def test_packing_closes_gaps_on_many_pieces():
     assert held == counts and packing.lower_bound(counts, 2048) <= sum(n for n, _ in patterns) < greedy
 
 
+def test_exact_packing_tries_every_filling():
+    counts = collections.Counter([50, 48, 48, 47, 45, 30, 20, 7, 5])
+    assert sum(n for n, _ in packing.pack(counts, 100)) == 3
+
+
 def test_packed_documents(spark):
     texts = [None, "", "Hello, don't stop", words(random.Random(6), 6000), "日本語 Σας", "same text", "same text"]
     rows = packing.pack_documents(table(spark, texts)).collect()
