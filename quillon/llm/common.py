@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -12,26 +13,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="quillon-")) / "quillon.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.joinpath("quillon").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))  # the driver serves the file; executors need not share its folder
+    context._quillon_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder; Python workers can import this package then."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 class Scratch:
     """Intermediate Parquet tables in the folder that the cluster shares.
 
-    The folder is spark.checkpoint.dir. Only a session without that setting,
-    as in local tests, gets a temporary folder of its own. Tables written here
-    cut lineage and survive the loss of executors.
+    The folder is spark.checkpoint.dir. Only a local session without that
+    setting, as in tests, gets a temporary folder of its own; on a cluster a
+    missing setting is an error, as executors do not share their disks. Tables
+    written here cut lineage and survive the loss of executors.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillon-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -41,7 +58,7 @@ class Scratch:
         """df written as Parquet and read again."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._quillon_path = path
         return kept
@@ -65,6 +82,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(WORD_SEPARATORS)] = False
+# Masks that keep so many leading bytes of a little-endian word.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -135,17 +154,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some rows, A-Z lower-cased if fold, and each row's first word.
 
-    A polynomial over a word's bytes, taken from one running sum over all rows
-    and scrambled; equal words have equal hashes wherever they stand.
+    Each eight bytes of a word are scrambled with their place in it before they
+    are summed, so that no regular pattern of letters cancels out; equal words
+    have equal hashes wherever they stand.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     starts, ends = word_spans(data, offsets)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(((_LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(n, "down")[starts]), np.searchsorted(starts, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[data] if fold else data
+    size = ends - starts
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    nth = np.arange(first[-1] + blocks[-1]) - np.repeat(first, blocks)
+    left = np.repeat(size, blocks) - 8 * nth
+    x = np.ndarray(n + 1, "<u8", padded, strides=(1,))[np.repeat(starts, blocks) + 8 * nth]
+    x &= _TAIL[np.minimum(left, 8)]
+    x = mix(x ^ mix((nth + 1).astype(np.uint64) * np.uint64(BASE)))
+    return mix(np.add.reduceat(x, first) + size.astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
 _SHINGLE = seeds(5, 11)

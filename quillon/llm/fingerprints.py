@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import common
 from quillon.llm.common import Scratch
 
 K, HASH_BYTES = 128, 6
-#: Ids of a bucket of neighbours, and buckets of one ordered group.
-BUCKET, GROUP = 512, 4096
+#: Bytes of text in a range of neighbours, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
 CHUNK = 1 << 20
 _SPACE = float(1 << 8 * HASH_BYTES)
 
@@ -122,32 +123,76 @@ def _compare(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def compare_neighbours(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+_KEYS = np.dtype([("o", ">u8"), ("th", ">u8")])
+
+
+def _order(o: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """Pairs of signed numbers as strings of bytes that sort as they do."""
+    keys = np.empty(len(o), _KEYS)
+    for name, x in (("o", o), ("th", th)):
+        keys[name] = x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return keys.view("S16")
+
+
+def _ranges(bounds: np.ndarray):
+    """A column function: for each row its range and, where it starts a range, a copy for the one before.
+
+    bounds are the ranges' first keys, ascending; the places are 2 * range, and
+    2 * range + 1 for a copy. Rows of one key that starts several ranges are
+    dealt out over them in turn. One copy a task is enough.
+    """
+
+    def run(batches):
+        copied: set[int] = set()
+        turn = 0
+        for o, th in batches:
+            keys = _order(o.to_numpy(), th.to_numpy())
+            low, high = np.searchsorted(bounds, keys, side="left"), np.searchsorted(bounds, keys, side="right")
+            out = [[2 * (h - 1)] for h in high.tolist()]
+            for k in np.flatnonzero(high > low).tolist():
+                out[k] = [2 * (int(low[k]) + turn % int(high[k] - low[k]))]
+                turn += 1
+                for j in range(int(low[k]), int(high[k])):
+                    if j not in copied:
+                        copied.add(j)
+                        out[k].append(2 * ((j - 1) % len(bounds)) + 1)
+            yield pd.Series(out)
+
+    return run
+
+
+def compare_neighbours(docs: DataFrame, id_col="doc_id", text_col="text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next one's.
 
     The next document is the following one by id, and the first after the
-    last; rows that repeat an id follow each other by text; null ids come
-    first. The edited text is the text with its last n_chars // 2 code points
-    replaced by as many of the next text's first, or all it has. Null texts
-    are empty. Other columns are ignored; an empty table gives no rows.
-
-    Texts move once, into buckets of neighbouring ids; a bucket's last row
-    meets a copy of the first row of the following bucket.
+    last; rows that repeat an id follow each other by a hash of the text; null
+    ids come first. The edited text is the text with its last n_chars // 2 code
+    points replaced by as many of the next text's first, or all it has. Null
+    texts are empty. Other columns are ignored; an empty table gives no rows.
+
+    Keys alone (an id and a hash of the text) are sorted into ranges of about
+    range_bytes of text, whatever the ids look like; the ranges' first keys, at
+    most MOST_RANGES, go to every task. Texts then move once, to their range;
+    the last row of one meets a copy of the first row of the next. Rows of
+    equal id and text are alike, so that many of them spread over ranges.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    bucket = F.expr(f"shiftright(o, {BUCKET.bit_length() - 1})")
-    rows = docs.select(order.alias("o"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("bucket", bucket)
-    firsts = scratch.keep(rows.groupBy("bucket").agg(F.min("o").alias("o")).withColumn("g", F.expr(f"shiftright(bucket, {GROUP.bit_length() - 1})")))
-    groups = firsts.groupBy("g").agg(F.max("bucket").alias("top"))
-    order_g = Window.orderBy("g")
-    groups = groups.select("g", F.coalesce(F.lag("top").over(order_g), F.max("top").over(order_g.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    within = F.lag("bucket").over(Window.partitionBy("g").orderBy("bucket"))
-    firsts = scratch.keep(firsts.withColumn("within", within).join(groups, "g").select("o", F.coalesce("within", "before").alias("before")))
-    copied = rows.join(firsts, "o", "left")
-    places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("b"), F.lit(True).alias("extra"))))
-    spread = copied.withColumn("place", F.explode(places)).select("place.b", "place.extra", "id", "text", "o")
-    sorted_rows = spread.repartition("b").sortWithinPartitions("b", "extra", "o", "text").select("b", "extra", "id", "text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(order.alias("o"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    keys = scratch.keep(rows.select("o", "th", F.octet_length("text").alias("size"), F.monotonically_increasing_id().alias("tie")))
+    count = min(max(1, -(-(keys.agg(F.sum("size")).first()[0] or 0) // range_bytes)), MOST_RANGES)
+    firsts = keys.select("o", "th", "tie").repartitionByRange(count, "o", "th", "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("o", "th", "tie")).alias("f"))
+    firsts = sorted(tuple(r["f"]) for r in firsts.collect())
+    scratch.drop(keys)
+    bounds = _order(np.array([f[0] for f in firsts], np.int64), np.array([f[1] for f in firsts], np.int64))
+
+    @F.pandas_udf("array<int>")
+    def places(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return _ranges(bounds)(parts)
+
+    spread = rows.withColumn("place", F.explode(places("o", "th"))).select(F.expr("place div 2").cast("long").alias("b"), (F.col("place") % 2).alias("extra"), "id", "text", "o", "th")
+    sorted_rows = spread.repartition(count, "b").sortWithinPartitions("b", "extra", "o", "th").select("b", (F.col("extra") == 1).alias("extra"), "id", "text")
     return sorted_rows.mapInArrow(_compare, _NEXT).withColumnRenamed("id", id_col)
 
 

@@ -1,18 +1,14 @@
-"""Line dedup: winnowed line hashes find repeated runs; later copies go.
-
-A window of a document is the shortest run of whole lines that ends at a line
-and has `min_words` words. Every window selects its least line hash as its
-fingerprint, so any two documents that share a run of that many words share a
-window, and with it a fingerprint. Fingerprints that occur once leave the
-search. Windows behind the others are joined to the first place, by document
-id and line, where the same window stands; each match is extended both ways
-while the lines agree, and the later copy of the run is deleted.
-
-Passages need not keep to lines. `drop_repeated_passages` takes words as the
-units: every run of `min_words` words selects its least hash of GRAM words as
-its anchor. Only runs behind anchors that occur twice are compared, first all
-runs of an anchor at once and then, where these differ, each run, so that a
-repeated passage is found wherever it begins, ends or wraps.
+"""Line dedup: winnowed fingerprints find repeated runs; later copies go.
+
+A copied passage need not keep its lines: it may begin or end inside one, or
+be wrapped anew. Hashes of whole lines miss such copies, so the units that are
+hashed are words, and a passage is a run of `min_words` of them. Every run
+selects the least hash of GRAM words within it as its anchor, the winnowing
+guarantee: equal runs have equal anchors. Anchors that occur once leave the
+search. Positions meet by their anchors: the runs around one anchor are
+compared as one stretch, and where stretches of one anchor differ, run by run.
+Each match reaches as far both ways as its runs agree, and the later copies
+are deleted, with the line breaks that held only them.
 """
 
 from __future__ import annotations
@@ -20,7 +16,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import common
@@ -30,139 +25,6 @@ MIN_WORDS = 50
 #: Words in an anchor of a passage; shorter passages take all their words.
 GRAM = 16
 
-_SCAN = "id bigint, th bigint, lines array<bigint>, prints array<struct<h bigint, wins array<struct<k bigint, s int, e int>>>>"
-
-
-def windows(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, fingerprint position) of each line's window, if it has one.
-
-    Ties for the least hash go to the rightmost line.
-    """
-    out, start, total, least = [], 0, 0, -1
-    for j, n in enumerate(words):
-        total += n
-        while total - words[start] >= min_words:
-            total -= words[start]
-            start += 1
-        if total < min_words:
-            continue
-        if least < start:
-            least = max(range(start, j + 1), key=lambda p: (-hashes[p], p))
-        else:
-            for p in range(out[-1][1], j + 1):
-                if hashes[p] <= hashes[least]:
-                    least = p
-        out.append((start, j + 1, least))
-    return out
-
-
-def _scan(min_words: int):
-    def run(batches):
-        hash64, hash_bytes = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
-        for batch in batches:
-            _, off = common.text_bytes(batch.column(2))
-            for i, j in common.slices(off, 1 << 22):
-                lines, line_ends = [], [0]
-                h, print_ends, k, s, e, win_ends = [], [0], [], [], [], [0]
-                for text in batch.column(2).slice(i, j - i).to_pylist():
-                    own = (text or "").split("\n")
-                    hashes = list(map(hash64, own))
-                    words = list(map(len, map(str.split, own)))
-                    packed = np.array(hashes, np.uint64)
-                    raw, at = packed.tobytes(), -1
-                    for a, b, p in windows(hashes, words, min_words):
-                        if p != at:
-                            at = p
-                            h.append(hashes[p])
-                            if len(k) > win_ends[-1]:
-                                win_ends.append(len(k))
-                        k.append(hash_bytes(raw[8 * a : 8 * b]))
-                        s.append(a)
-                        e.append(b)
-                    if len(k) > win_ends[-1]:
-                        win_ends.append(len(k))
-                    print_ends.append(len(h))
-                    lines.append(packed)
-                    line_ends.append(line_ends[-1] + len(own))
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                wins = pa.StructArray.from_arrays([signed(k), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["k", "s", "e"])
-                prints = pa.StructArray.from_arrays([signed(h), pa.ListArray.from_arrays(pa.array(win_ends, pa.int32()), wins)], ["h", "wins"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
-                        pa.ListArray.from_arrays(pa.array(line_ends, pa.int32()), pa.array(np.concatenate(lines).view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(print_ends, pa.int32()), prints),
-                    ],
-                    names=["id", "th", "lines", "prints"],
-                )
-
-    return run
-
-
-def extend(seeds: list[tuple[int, int]], later: list[int], first: list[int], shift: int) -> list[tuple[int, int]]:
-    """Runs of `later` that equal `first` shifted, around the seeds, merged.
-
-    Line p of `later` stands against line p - shift of `first`.
-    """
-    out: list[tuple[int, int]] = []
-    low, high = max(0, shift), min(len(later), len(first) + shift)
-    for s, e in sorted(seeds):
-        if out and e <= out[-1][1]:
-            continue
-        while s > low and later[s - 1] == first[s - 1 - shift]:
-            s -= 1
-        while e < high and later[e] == first[e - shift]:
-            e += 1
-        out.append((s, e))
-    return out
-
-
-def _extend(batches):
-    for batch in batches:
-        ids, ths, shift, seeds, later, first = (c.to_pylist() for c in batch.columns)
-        cuts = [[{"s": s, "e": e} for s, e in extend([(x["s"], x["e"]) for x in w], a, b, d)] for w, a, b, d in zip(seeds, later, first, shift)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(cuts, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["id", "th", "cuts"])
-
-
-def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = MIN_WORDS, count_col: str | None = None) -> DataFrame:
-    """docs with every later copy of a run of lines of min_words words deleted.
-
-    All columns stay, with the text replaced; count_col, if given, is added and
-    counts the deleted lines. Lines compare as whole strings. Documents are
-    ordered by id, those that repeat an id by a hash of the text; rows equal in
-    both are one document and keep equal texts. Of copies within a document the
-    first stays. A null id or text stays as it is and matches nothing. A
-    text whose lines all go becomes empty. An empty table stays empty.
-    """
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    id_, text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", id_.alias("id"), F.xxhash64(text).alias("th"))
-    scanned = rows.where(F.col("id").isNotNull() & text.isNotNull()).select("id", "th", text.alias("text"))
-    scan = scratch.keep(scanned.mapInArrow(_scan(min_words), _SCAN))
-    prints = scan.select("id", "th", F.inline("prints"))
-    shared = prints.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    wins = scratch.keep(prints.join(shared, "h", "left_semi").select("id", "th", F.inline("wins")))
-    first = scratch.keep(wins.groupBy("k").agg(F.min(F.struct("id", "th", "s")).alias("f"), F.max(F.struct("id", "th", "s")).alias("l")).where("f < l").select("k", F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.s").alias("fs")))  # a written table, so that the join on a hot window can be split
-    matches = wins.join(first, "k").where("struct(id, th, s) > struct(fid, fth, fs)")
-    runs = matches.groupBy("id", "th", "fid", "fth", (F.col("s") - F.col("fs")).alias("shift")).agg(F.collect_set(F.struct("s", "e")).alias("seeds"))
-    runs = scratch.keep(runs)
-    needed = runs.select("id", "th").unionAll(runs.select(F.col("fid"), F.col("fth"))).distinct()
-    lines = scratch.keep(scan.select("id", "th", "lines").join(needed, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
-    paired = runs.join(lines, ["id", "th"]).join(lines.select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("lines").alias("first")), ["fid", "fth"])
-    cut = paired.select("id", "th", "shift", "seeds", "lines", "first").mapInArrow(_extend, "id bigint, th bigint, cuts array<struct<s int, e int>>")
-    cut = scratch.keep(cut.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts")))
-    scratch.drop(scan, wins, first, runs, lines)
-
-    # cuts grow with the corpus, so texts meet them by a shuffle at every size
-    joined = rows.join(cut.hint("merge"), ["id", "th"], "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists(F.col("cuts"), lambda c: (i >= c["s"]) & (i < c["e"])))
-    new = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    out = [(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
-    if count_col:
-        cut_lines = F.size(F.split(text, "\n", -1)) - F.size(kept)
-        out.append(F.when(F.col("cuts").isNull(), 0).otherwise(cut_lines).alias(count_col))
-    return joined.select(*out)
-
 
 def _rolled(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` of the words, rows aside."""
@@ -197,12 +59,15 @@ def _stretches(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_scan(min_words: int):
+    gram = min(GRAM, min_words)
+
     def run(batches):
         for batch in batches:
             for i, j, data, at, words, first, grams, anchors in _anchors(batch, 2, min_words):
                 starts, ends = common.word_spans(data, at)
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                sums = np.concatenate((grams[:0], [np.uint64(0)], np.cumsum(words * common.powers(len(words)))))
+                # scrambled grams, not words, so that no regular pattern of words cancels out
+                sums = np.concatenate((grams[:0], [np.uint64(0)], np.cumsum(grams * common.powers(len(grams)))))
                 down = common.powers(len(words), "down")
                 rows, h, k, s, e = [first[:0]], [grams[:0]], [grams[:0]], [first[:0]], [first[:0]]
                 for row, own in enumerate(anchors):
@@ -212,7 +77,7 @@ def _anchor_scan(min_words: int):
                     rows.append(np.full(len(low), i + row))
                     h.append(grams[first[row] + own[low]])
                     a, b = first[row] + low, first[row] + high + min_words
-                    k.append(common.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+                    k.append(common.mix((sums[b - gram + 1] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
                     s.append(points[starts[a]] - points[at[row]])
                     e.append(points[ends[b - 1]] - points[at[row]])
                 rows = pa.array(np.concatenate(rows))
@@ -224,10 +89,12 @@ def _anchor_scan(min_words: int):
 
 
 def _run_scan(min_words: int):
+    gram = min(GRAM, min_words)
+
     def run(batches):
         for batch in batches:
-            for i, j, data, at, words, first, _, anchors in _anchors(batch, 2, min_words):
-                keys = _rolled(words, min_words)
+            for i, j, data, at, words, first, grams, anchors in _anchors(batch, 2, min_words):
+                keys = _rolled(grams, min_words - gram + 1)
                 starts, ends = common.word_spans(data, at)
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 rows, k, s, e = [first[:0]], [keys[:0]], [first[:0]], [first[:0]]
@@ -290,14 +157,17 @@ def erase(text: str, cuts: list[tuple[int, int]]) -> str:
     return whole if whole.strip(space) else ""
 
 
-def drop_repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = MIN_WORDS, count_col: str | None = None) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = MIN_WORDS, count_col: str | None = None, words_col: str | None = None) -> DataFrame:
     """docs without any run of min_words words that stands at an earlier place too.
 
     Words compare as whole strings; the white space between them does not
     count, so lines may break anywhere. All columns stay, with the text
-    replaced; count_col, if given, is added and counts the lines that went.
-    Order, repeated ids, equal rows, nulls and empty tables are treated as in
-    drop_repeated_runs. A text whose words all go becomes empty.
+    replaced; count_col and words_col, if given, are added and count the lines
+    and the words that went. Documents are ordered by id, those that repeat an
+    id by a hash of the text; rows equal in both are one document and keep
+    equal texts. Of copies within a document the first stays. A null id or
+    text stays as it is and matches nothing. A text whose words all go becomes
+    empty. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     id_, text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`").cast("string")
@@ -313,15 +183,15 @@ def drop_repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", mi
         return first, scratch.keep(spans.join(twice, "k").where("struct(id, th, s) > struct(fid, fth, fs)").select("id", "th", "s", "e"))
 
     anchors = scratch.keep(scanned.mapInArrow(_anchor_scan(min_words), "id bigint, th bigint, h bigint, k bigint, s int, e int"))
-    shared = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    shared = scratch.keep(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))  # written, as are the other sides of joins on hot keys
     spans = scratch.keep(anchors.join(shared, "h", "left_semi"))
-    scratch.drop(anchors)
+    scratch.drop(anchors, shared)
     # runs of one anchor that all stand earlier go as one; what is left to compare run by run are anchors within unlike runs
     first, whole = repeated(spans, F.first("h").alias("h"))
-    unlike = first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    unlike = scratch.keep(first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     wanted = first.join(unlike, "h", "left_semi").groupBy(F.col("fid").alias("id"), F.col("fth").alias("th")).agg(F.collect_set("fs").alias("wanted"))
     wanted = scratch.keep(wanted)
-    scratch.drop(spans, first)
+    scratch.drop(spans, first, unlike)
     # they grow with the corpus, so texts meet them by a shuffle at every size
     behind = scanned.join(wanted.hint("merge"), ["id", "th"]).select("id", "th", "text", "wanted")
     runs = scratch.keep(behind.mapInArrow(_run_scan(min_words), "id bigint, th bigint, k bigint, s int, e int"))
@@ -340,9 +210,12 @@ def drop_repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text", mi
     if count_col:
         lines = lambda c: F.when(c == "", 0).otherwise(F.size(F.split(c, "\n", -1)))
         out.append(F.when(F.col("cuts").isNull(), 0).otherwise(lines(text) - lines(F.col("new"))).alias(count_col))
+    if words_col:
+        words = lambda c: F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+"))
+        out.append(F.when(F.col("cuts").isNull(), 0).otherwise(words(text) - words(F.col("new"))).alias(words_col))
     return joined.select(*out)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_repeated_passages(docs, count_col="lines_deleted")
+    return drop_repeated_passages(docs, count_col="lines_deleted", words_col="words_deleted")

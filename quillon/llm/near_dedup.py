@@ -8,16 +8,17 @@ samples differ, and from it the resemblance, most precisely where it is high.
 Bucket mates whose sketches look alike are compared on their full sets.
 
 Pairs at resemblance 0.75 share no band with probability (1 - .75**4)**32,
-about 5e-6; sketches reject only estimates below 0.56, some 5 deviations off.
+about 5e-6; sketches reject only estimates below 0.5, some 5 deviations off.
 
 No bucket is expanded into all its pairs. First, each member meets the
 bucket's smallest id only; the confirmed links' components then label the
 members. Second, members of other labels than the bucket's commonest meet all
 members of different labels. Pairs of one label need no check: they are
-already connected. Small buckets do so by a join behind the sketch test, large
-ones in blocks of at most BLOCK by BLOCK members that a task compares as bit
-matrices, so that only links leave it. Every candidate link between components
-is tested, and a bucket of n copies costs about n comparisons.
+already connected. Buckets of any size go the same way: blocks of at most
+BLOCK by BLOCK members compare their sketches, and what looks alike in a part
+of a block compares its full sets there, so that only links leave it. Every
+candidate link between components is tested, and a bucket of n copies costs
+about n comparisons.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from quillon.llm import common
 from quillon.llm.common import Scratch
 from quillon.llm.components import components
 
-BANDS, ROWS, SKETCH_BITS, LEAST_ESTIMATE = 32, 4, 512, 0.56
+BANDS, ROWS, SKETCH_BITS, LEAST_ESTIMATE = 32, 4, 512, 0.5
 SAMPLES = BANDS * ROWS
 CHUNK = 1 << 20
-#: Members of a block, and the comparisons up to which a bucket is joined whole.
-BLOCK, SMALL_BUCKET = 256, 1024
+#: Members on each side of a block of sketches, and of a part of it that compares full sets.
+BLOCK, PART = 4096, 256
 
 
 def signatures(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
@@ -144,54 +145,107 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     return good
 
 
-def _blocks(pdf):
-    """Links between the minor members of one block and the members of another."""
-    x, y = pdf[pdf["minor"]], pdf[~pdf["minor"]]
-    out = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())}).to_pandas()
-    if not len(x) or not len(y):
-        return out
-    xs, ys = [[np.asarray(v).view(np.uint64) for v in t["shingles"]] for t in (x, y)]
-    vocabulary = np.unique(np.concatenate(xs))
-    words = -(-len(vocabulary) // 64)
-
-    def bits(sets):
-        m = np.zeros((len(sets), words * 64), bool)
-        for row, v in zip(m, sets):
-            at = np.searchsorted(vocabulary, v)
-            at[at == len(vocabulary)] = 0
-            row[at[vocabulary[at] == v]] = True
-        return np.packbits(m, axis=1).view(np.uint64)
-
-    mx, my = bits(xs), bits(ys)
-    ny, ids, labels = np.array([len(v) for v in ys]), y["id"].to_numpy(), y["label"].to_numpy()
-    found = []
-    for row, own, n, label in zip(mx, x["id"], map(len, xs), x["label"]):
-        both = np.bitwise_count(my & row).sum(axis=1, dtype=np.int64)
-        linked = np.flatnonzero((100 * both >= 75 * (n + ny - both)) & (labels != label))
-        _, first = np.unique(labels[linked], return_index=True)  # one link connects two components
-        found += [(min(own, k), max(own, k)) for k in ids[linked[first]].tolist()]
-    return out if not found else out.__class__(found, columns=["a", "b"])
-
-
-def _across(labelled: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _runs(batches, keys: int):
+    """Tables of whole runs of rows that agree in the leading columns, and where each run starts and ends."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        columns = [table.column(k).to_numpy() for k in range(keys)]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cut = int(edges[-1]) if len(edges) else 0
+        if cut:
+            yield table.slice(0, cut), [0, *edges.tolist()]
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+_BLOCK = ("band", "xb", "yb", "minor", "id", "label")
+_ALIKE = "band bigint, xb int, yb int, part int, minor boolean, id bigint, label bigint"
+
+
+def _look_alike(part: int):
+    """From sorted blocks, the members of each part of one that have a look-alike of another label there."""
+    limit = estimate_limit()
+
+    def run(batches):
+        for table, ends in _runs(batches, 3):
+            minor, label, n = (table.column(k).to_numpy(zero_copy_only=False) for k in (3, 5, 6))
+            sketch = table.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+            rows, parts = [], []
+            for low, high in zip(ends, ends[1:]):
+                x, y = low + np.flatnonzero(minor[low:high]), low + np.flatnonzero(~minor[low:high])
+                across = -(-len(y) // part)
+                for i in range(0, len(x), part):
+                    some = x[i : i + part]
+                    for j in range(0, len(y), part):
+                        other = y[j : j + part]
+                        nx, ny = n[some][:, None], n[other][None, :]
+                        fits = (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)) & (label[some][:, None] != label[other][None, :])
+                        if not fits.any():
+                            continue
+                        fits &= np.bitwise_count(sketch[some][:, None, :] ^ sketch[other][None, :, :]).sum(axis=2, dtype=np.int64) <= limit
+                        found = np.concatenate((some[fits.any(axis=1)], other[fits.any(axis=0)]))
+                        rows.append(found)
+                        parts.append(np.full(len(found), i // part * across + j // part, np.int32))
+            if rows:
+                own = table.select(list(_BLOCK)).take(pa.array(np.concatenate(rows))).combine_chunks()
+                own = own.add_column(3, "part", pa.array(np.concatenate(parts)))
+                yield from own.to_batches()
+
+    return run
+
+
+def _linked(batches):
+    """From sorted parts with full sets, links between minor members and others of different labels."""
+    for table, ends in _runs(batches, 4):
+        minor, ids, labels = (table.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6))
+        lists = table.column(7).combine_chunks()
+        at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        shingles, found = lists.flatten().to_numpy().view(np.uint64), []
+        for low, high in zip(ends, ends[1:]):
+            x, y = low + np.flatnonzero(minor[low:high]), low + np.flatnonzero(~minor[low:high])
+            if not len(x) or not len(y):
+                continue
+            ny = at[y + 1] - at[y]
+            flat = np.concatenate([shingles[at[k] : at[k + 1]] for k in y.tolist()])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(y)), ny)[order]
+            for k in x.tolist():
+                own = shingles[at[k] : at[k + 1]]
+                first = np.searchsorted(flat, own)
+                count = np.searchsorted(flat, own, side="right") - first
+                spots = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                both = np.bincount(owner[spots], minlength=len(y))
+                good = np.flatnonzero((100 * both >= 75 * (len(own) + ny - both)) & (labels[y] != labels[k]))
+                _, one = np.unique(labels[y[good]], return_index=True)  # one link connects two components
+                found += [(min(ids[k], i), max(ids[k], i)) for i in ids[y[good[one]]].tolist()]
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _across(labelled: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch, block: int = 0, part: int = 0) -> DataFrame:
     """Links (a, b) between members (band, id, label) of a bucket whose labels differ."""
+    block, part = block or BLOCK, part or PART
     counts = labelled.groupBy("band", "label").agg(F.count("*").alias("c"))
     per = counts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    per = scratch.keep(per.select("band", F.col("m.label").alias("top"), "n", (F.col("n") - F.col("m.c")).alias("minors")))
-    small = per.where(f"n * minors <= {SMALL_BUCKET}")
-    few = scratch.keep(labelled.join(small.select("band", "top"), "band").join(sketches, "id"))
-    pairs = few.where("label <> top").alias("x").join(few.alias("y"), F.expr(f"x.band = y.band and x.label <> y.label and {_alike('x', 'y')}"))
-    some = _confirmed(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), texts, scratch)
-
-    large = per.where(f"n * minors > {SMALL_BUCKET}").withColumn("xn", F.ceil(F.col("minors") / BLOCK).cast("int")).withColumn("yn", F.ceil(F.col("n") / BLOCK).cast("int"))
-    many = labelled.join(large, "band").withColumn("spot", F.xxhash64("id", "band"))
-    x = many.where("label <> top").select("band", "id", "label", F.lit(True).alias("minor"), F.expr("cast(pmod(spot, xn) as int)").alias("xb"), F.explode(F.expr("sequence(0, yn - 1)")).alias("yb"))
-    y = many.select("band", "id", "label", F.lit(False).alias("minor"), F.explode(F.expr("sequence(0, xn - 1)")).alias("xb"), F.expr("cast(pmod(spot, yn) as int)").alias("yb"))
-    spread = scratch.keep(x.unionAll(y))
-    sets = _sets_of(spread.select("id").distinct(), texts, scratch)
-    found = spread.join(sets, "id").groupBy("band", "xb", "yb").applyInPandas(_blocks, "a bigint, b bigint").distinct()
-    out = scratch.keep(some.unionAll(found))
-    scratch.drop(per, few, spread, sets)
+    per = per.select("band", F.col("m.label").alias("top"), F.ceil((F.col("n") - F.col("m.c")) / block).cast("int").alias("xn"), F.ceil(F.col("n") / block).cast("int").alias("yn"))
+    per = scratch.keep(per)
+    many = labelled.join(per, "band").withColumn("spot", F.xxhash64("id", "band"))
+    x = many.where("label <> top").select("band", F.expr("cast(pmod(spot, xn) as int)").alias("xb"), F.explode(F.expr("sequence(0, yn - 1)")).alias("yb"), F.lit(True).alias("minor"), "id", "label")
+    y = many.select("band", F.explode(F.expr("sequence(0, xn - 1)")).alias("xb"), F.expr("cast(pmod(spot, yn) as int)").alias("yb"), F.lit(False).alias("minor"), "id", "label")
+    spread = x.unionAll(y).join(sketches, "id").select(*_BLOCK, "n", "sketch")
+    blocks = spread.repartition("band", "xb", "yb").sortWithinPartitions("band", "xb", "yb")
+    alike = scratch.keep(blocks.mapInArrow(_look_alike(part), _ALIKE))
+    sets = _sets_of(alike.select("id").distinct(), texts, scratch)
+    keys = ["band", "xb", "yb", "part"]
+    parts = alike.join(sets, "id").select(*keys, "minor", "id", "label", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    out = scratch.keep(parts.mapInArrow(_linked, "a bigint, b bigint").distinct())
+    scratch.drop(per, alike, sets)
     return out
 
 
@@ -216,9 +270,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = full.join(same_id, "id", "left_semi").join(classes, ["set_hi", "set_lo"])
     repeated = scratch.keep(repeated.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
     reps = full.join(classes.withColumnRenamed("rep", "id"), ["id", "set_hi", "set_lo"], "left_semi")
-    sketches = scratch.keep(reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands"))
-    member = sketches.select(F.explode("bands").alias("band"), "id")
-    sketches = sketches.drop("bands")
+    sketches_ = scratch.keep(reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands"))
+    member = sketches_.select(F.explode("bands").alias("band"), "id")
+    sketches = sketches_.drop("bands")
     leaders = scratch.keep(member.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead"))  # a written table, so that the join on a hot band can be split
     shared = scratch.keep(member.join(leaders, "band").distinct())
     first = shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -230,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _across(labelled, sketches, texts, scratch)
     if not more.isEmpty():
         labels = components(links.unionAll(more), scratch)
-    scratch.drop(shared, labelled)
+    scratch.drop(shared, labelled, sketches_, leaders, more)
 
     of_class = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))

@@ -9,6 +9,8 @@ the counts allow; tasks then look up their pieces' places by length and rank.
 from __future__ import annotations
 
 import bisect
+import itertools
+import logging
 import random
 import zlib
 
@@ -22,20 +24,38 @@ from quillon.llm.common import Scratch
 from quillon.llm.tokens import word_bpe
 
 CAPACITY, VOCABULARY = 2048, "word_bpe_49k.json"
-#: Search effort: fillings looked at for one sequence, and nodes of the exact search.
-FILLINGS, NODES = 600, 20_000
-#: The exact search runs where the pieces shorter than a sequence are so few.
-EXACT_PIECES = 60
-#: Tries of the repair of a larger packing, and the search's nodes in each.
-REPAIRS, REPAIR_NODES = 200, 60
+#: Steps that the greedy completion looks for one sequence's filling.
+FILLINGS = 600
+#: Limits of the branch and bound: nodes, and steps of enumerating fillings in
+#: all of them. A packing that they leave unproven is reported as such.
+NODES, STEPS = 20_000, 3_000_000
+#: The repair of an incumbent: tries, pieces taken anew in one, and its limits.
+REPAIRS, HANDFUL, REPAIR_NODES, REPAIR_STEPS = 200, 60, 200, 30_000
+#: Fillings that are put in order of waste at a time.
+SORTED = 64
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how often, ((length, how many), ...)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any packing needs: total tokens, and pieces over half."""
-    total = -(-sum(k * v for k, v in counts.items()) // capacity)
-    return max(total, sum(v for k, v in counts.items() if 2 * k > capacity))
+    """Sequences that any packing needs.
+
+    For every length k up to half the capacity: pieces over half need one
+    each, and those of k and more must fit beside the ones that leave room.
+    """
+    if not counts:
+        return 0
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    upto, tokens = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * sizes)))
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    low = np.arange(half + 1)  # the first piece that counts; half: none
+    least = np.append(sizes[:half], capacity // 2 + 1)
+    least[0] = 0
+    beside = np.maximum(np.searchsorted(sizes, capacity - least, side="right"), half)
+    room = (upto[beside] - upto[half]) * capacity - (tokens[beside] - tokens[half])
+    more = -(-(tokens[half] - tokens[low] - room) // capacity)
+    return int(upto[-1] - upto[half] + np.maximum(more, 0).max())
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -79,51 +99,55 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(n, shape) for bins in open_bins.values() for shape, n in bins.items()]
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int, every: bool = False, spent: list[int] | None = None):
-    """Undominated multisets of sizes for a room, as (waste, ((size, n), ...)).
+def fillings(counts: dict[int, int], sizes: list[int], room: int, slack: int | None = None, spent: list[int] | None = None, steps: int | None = None):
+    """Undominated multisets of sizes for a room, one by one, as (waste, ((size, n), ...)).
 
-    sizes are those with a count, ascending. A filling counts only if no spare
-    piece fits into its waste, and no member can be swapped for a larger spare
-    one. Larger members come first, so the first fillings waste little; the
-    search ends after `most` steps, and at no waste unless `every` is set. Then
-    only a piece that fills what is left is taken alone, as any others there
-    could be swapped for it. spent, if given, counts the steps.
+    sizes are those with a count, ascending. A filling is dominated if a spare
+    piece fits into its waste or a member can be swapped for a larger spare
+    one; a piece that fills what is left is taken alone, as any others there
+    could be swapped for it. All others come, larger members first, unless
+    slack is the most waste that is asked for. spent counts the steps; the
+    enumeration ends early where they reach `steps`.
     """
-    steps, found = 0, {}
+    spent = [0] if spent is None else spent
+    below_sum = [0]
+    for s in sizes:
+        below_sum.append(below_sum[-1] + s * counts[s])
     stack = [(room, len(sizes), ())]
-    while stack and steps < most:
-        steps += 1
+    while stack:
+        spent[0] += 1
+        if steps is not None and spent[0] >= steps:
+            return
         rest, below, chosen = stack.pop()
         i = min(below, bisect.bisect_right(sizes, rest))
+        if slack is not None and rest - below_sum[i] > slack:
+            continue
         if i == 0:
             used = dict(chosen)
-            spare = [s for s in sizes if counts[s] > used.get(s, 0)]
-            j = bisect.bisect_left(spare, 1)
-            if spare and spare[j] <= rest:
+            is_spare = lambda s: counts[s] > used.get(s, 0)
+            if rest and any(map(is_spare, sizes[: bisect.bisect_right(sizes, rest)])):
                 continue
-            swaps = (bisect.bisect_right(spare, s) for s in used)
-            if any(k < len(spare) and spare[k] <= s + rest for k, s in zip(swaps, used)):
-                if not every:
-                    found.setdefault((rest, chosen))
+            if rest and any(is_spare(x) for s in used for x in sizes[bisect.bisect_right(sizes, s) : bisect.bisect_right(sizes, s + rest)]):
                 continue
-            found.setdefault((rest, chosen))
-            if rest == 0 and not every:
-                break
+            yield rest, chosen
             continue
-        size = sizes[i - 1]
-        n = min(counts[size], rest // size)
         fits = bisect.bisect_left(sizes, rest)
-        if fits < i and sizes[fits] == rest:  # one piece ends it without waste
-            found.setdefault((0, (*chosen, (rest, 1))))
-            if every:
-                continue
-            break
+        if fits < i and sizes[fits] == rest:
+            yield 0, (*chosen, (rest, 1))
+            continue
+        size = sizes[i - 1]
         stack.append((rest, i - 1, chosen))
-        for k in range(1, n + 1):
+        for k in range(1, min(counts[size], rest // size) + 1):
             stack.append((rest - k * size, i - 1, (*chosen, (size, k))))
-    if spent is not None:
-        spent[0] += steps
-    return sorted(found, key=lambda f: f[0])
+
+
+def _greedy(counts: dict[int, int], sizes: list[int], room: int) -> tuple:
+    chosen = []
+    for size in reversed(sizes[: bisect.bisect_right(sizes, room)]):
+        if n := min(counts[size], room // size):
+            chosen.append((size, n))
+            room -= n * size
+    return tuple(chosen)
 
 
 def complete(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -136,8 +160,13 @@ def complete(counts: dict[int, int], capacity: int) -> list[Pattern]:
         counts[top] -= 1
         if not counts[top]:
             sizes.pop()
-        options = fillings(counts, sizes, capacity - top, FILLINGS)
-        shape = dict(options[0][1]) if options else {}
+        least, best = capacity, None
+        for lost, filling in fillings(counts, sizes, capacity - top, None, [0], FILLINGS):
+            if lost < least:
+                least, best = lost, filling
+            if not lost:
+                break
+        shape = dict(_greedy(counts, sizes, capacity - top) if best is None else best)
         shape[top] = shape.get(top, 0) + 1
         counts[top] = counts.get(top, 0) + 1
         if not sizes or sizes[-1] != top:
@@ -151,44 +180,72 @@ def complete(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
-def _used(patterns: list[Pattern]) -> int:
+def used(patterns: list[Pattern]) -> int:
+    """Sequences of a packing."""
     return sum(n for n, _ in patterns)
 
 
-def exact(counts: dict[int, int], capacity: int, incumbent: list[Pattern], nodes: int = NODES) -> list[Pattern]:
-    """Branch and bound over fillings of the largest piece left.
+def search(counts: dict[int, int], capacity: int, incumbent: list[Pattern], nodes: int = NODES, steps: int = STEPS) -> tuple[list[Pattern], bool]:
+    """Branch and bound over fillings of the largest piece left: the best packing and whether it is proven least.
 
-    A branch is cut where its waste so far leaves no packing smaller than the
-    incumbent: bins * capacity - total is all the waste a better one may have.
-    All undominated fillings are tried; the result is the least unless the
-    limit of nodes, or of FILLINGS steps a node on average and 100 times as
-    many in one, ends the search.
+    A node is a histogram of the pieces left. It branches over all undominated
+    fillings, those of little waste first, each laid as often as the counts
+    allow and then half as often, down to once. A branch is cut where its
+    waste so far, or the lower bound of what is left, leaves no packing
+    smaller than the incumbent, and where the same pieces were left before
+    with no more sequences used. Only the limits end it unproven.
     """
-    total = sum(k * v for k, v in counts.items())
-    bound, best, seen, spent = lower_bound(counts, capacity), incumbent, [0], [0]
+    total, best, least = sum(k * v for k, v in counts.items()), incumbent, used(incumbent)
+    bound, spent, seen = lower_bound(counts, capacity), [0], {}
+    rng = random.Random(1)
+    mark = {size: rng.getrandbits(128) for size in sorted(counts)}
 
-    def go(left: dict[int, int], bins: list, waste: int):
-        nonlocal best
-        seen[0] += 1
-        if _used(best) <= bound or seen[0] > nodes or spent[0] >= FILLINGS * nodes:
-            return
-        if not left:
-            if len(bins) < _used(best):
-                best = [(1, b) for b in bins]
-            return
-        spare = (_used(best) - 1) * capacity - total - waste
-        if spare < 0 or len(bins) + lower_bound(left, capacity) >= _used(best):
-            return
+    def branches(left: dict[int, int], waste: int):
         top = max(left)
         rest = {k: v - (k == top) for k, v in left.items() if v > (k == top)}
-        for lost, shape in fillings(rest, sorted(rest), capacity - top, min(FILLINGS * nodes - spent[0], 100 * FILLINGS), True, spent) or [(capacity - top, ())]:
-            if lost > spare:
-                break
-            used = dict(shape)
-            go({k: v - used.get(k, 0) for k, v in rest.items() if v > used.get(k, 0)}, [*bins, ((top, 1), *shape)], waste + lost)
-
-    go(dict(counts), [], 0)
-    return best
+        options = fillings(rest, sorted(rest), capacity - top, (least - 1) * capacity - total - waste, spent, steps)
+        while some := sorted(itertools.islice(options, SORTED), key=lambda f: f[0]):
+            for lost, filling in some:
+                shape = dict(filling)
+                shape[top] = shape.get(top, 0) + 1
+                times = min(left[s] // n for s, n in shape.items())
+                while times:
+                    yield lost, tuple(sorted(shape.items(), reverse=True)), times
+                    times //= 2
+
+    visited = 0
+    stack = [(dict(counts), 0, 0, 0, None, branches(counts, 0))] if counts else []
+    while stack and least > bound:
+        if visited >= nodes or spent[0] >= steps:
+            return best, False
+        left, bins, waste, key, trail, options = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
+            continue
+        lost, shape, times = option
+        visited += 1
+        more, count = waste + lost * times, bins + times
+        if more > (least - 1) * capacity - total:
+            continue
+        rest = dict(left)
+        for s, n in shape:
+            rest[s] -= n * times
+            key += mark[s] * n * times
+            if not rest[s]:
+                del rest[s]
+        if not rest:
+            if count < least:
+                least, best, at = count, [(times, shape)], trail
+                while at:
+                    best.append(at[0])
+                    at = at[1]
+            continue
+        if count + lower_bound(rest, capacity) >= least or seen.get(key, least) <= count:
+            continue
+        seen[key] = count
+        stack.append((rest, count, more, key, ((times, shape), trail), branches(rest, more)))
+    return best, spent[0] < steps or least <= bound
 
 
 def _waste(shape: tuple[tuple[int, int], ...], capacity: int) -> int:
@@ -196,17 +253,17 @@ def _waste(shape: tuple[tuple[int, int], ...], capacity: int) -> int:
 
 
 def repair(patterns: list[Pattern], counts: dict[int, int], capacity: int, tries: int = REPAIRS) -> list[Pattern]:
-    """Packs handfuls of sequences anew, each as often as its patterns allow.
+    """A better incumbent: packs handfuls of wasteful sequences anew, each as often as its patterns allow.
 
-    A handful has at most EXACT_PIECES pieces, drawn by waste with a fixed
-    seed; the exact search replaces it where it needs fewer sequences.
+    A handful has at most HANDFUL pieces, drawn by waste with a fixed seed; a
+    short search replaces it where it needs fewer sequences.
     """
     have: dict[tuple, int] = {}
     for n, shape in patterns:
         have[shape] = have.get(shape, 0) + n
-    used, bound, rng = _used(patterns), lower_bound(counts, capacity), random.Random(0)
+    now, bound, rng = used(patterns), lower_bound(counts, capacity), random.Random(0)
     for _ in range(tries):
-        if used <= bound:
+        if now <= bound:
             break
         shapes = list(have)
         weights = [have[x] * _waste(x, capacity) for x in shapes]
@@ -214,17 +271,17 @@ def repair(patterns: list[Pattern], counts: dict[int, int], capacity: int, tries
             break
         taken: dict[tuple, int] = {}
         pieces: dict[int, int] = {}
-        for shape in rng.choices(shapes, weights, k=EXACT_PIECES):
-            if taken.get(shape, 0) < have[shape] and sum(pieces.values()) + sum(n for _, n in shape) <= EXACT_PIECES:
+        for shape in rng.choices(shapes, weights, k=HANDFUL):
+            if taken.get(shape, 0) < have[shape] and sum(pieces.values()) + sum(n for _, n in shape) <= HANDFUL:
                 taken[shape] = taken.get(shape, 0) + 1
                 for size, n in shape:
                     pieces[size] = pieces.get(size, 0) + n
         before = sum(taken.values())
         if lower_bound(pieces, capacity) >= before:
             continue
-        anew = min(best_fit(pieces, capacity), complete(pieces, capacity), key=_used)
-        anew = exact(pieces, capacity, anew, REPAIR_NODES)
-        if _used(anew) >= before:
+        anew = min(best_fit(pieces, capacity), complete(pieces, capacity), key=used)
+        anew, _ = search(pieces, capacity, anew, REPAIR_NODES, REPAIR_STEPS)
+        if used(anew) >= before:
             continue
         times = min(have[x] // n for x, n in taken.items())
         for x, n in taken.items():
@@ -233,27 +290,32 @@ def repair(patterns: list[Pattern], counts: dict[int, int], capacity: int, tries
                 del have[x]
         for n, x in anew:
             have[x] = have.get(x, 0) + n * times
-        used -= (before - _used(anew)) * times
+        now -= (before - used(anew)) * times
     return [(n, x) for x, n in have.items()]
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns that together hold each length exactly as often as counted.
+def packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], int, bool]:
+    """Patterns that together hold each length exactly as often as counted, the
+    lower bound of their number, and whether they are proven least.
 
-    The better of best fit and bin completion. A gap to the lower bound calls
-    the exact search within its limits: over all pieces, where those shorter
-    than a sequence are few, and else over handfuls of sequences.
+    Best fit and greedy bin completion give the first incumbent. While it is
+    above the bound, handfuls of it are packed anew and then the branch and
+    bound runs over the whole histogram, at every size of the input alike.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
-    if not counts:
-        return []
     full = counts.pop(capacity, 0)
-    best = min(best_fit(counts, capacity), complete(counts, capacity), key=_used)
-    if _used(best) > lower_bound(counts, capacity):
-        best = exact(counts, capacity, best) if sum(counts.values()) <= EXACT_PIECES else repair(best, counts, capacity)
-    return [*best, *[(full, ((capacity, 1),))] * bool(full)]
+    bound = lower_bound(counts, capacity)
+    best, proven = min(best_fit(counts, capacity), complete(counts, capacity), key=used), True
+    if used(best) > bound:
+        best, proven = search(counts, capacity, repair(best, counts, capacity))
+    return [*best, *[(full, ((capacity, 1),))] * bool(full)], bound + full, proven
+
+
+def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """The patterns of packing()."""
+    return packing(counts, capacity)[0]
 
 
 def layout(patterns: list[Pattern]) -> dict[int, np.ndarray]:
@@ -331,7 +393,9 @@ def pack_documents(docs: DataFrame, id_col="doc_id", text_col="text", capacity:
     pieces = scratch.keep(texts.mapInArrow(_tokenize(vocabulary, capacity), _PIECES))
     by_task = scratch.keep(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = layout(pack(histogram, capacity))
+    patterns, bound, proven = packing(histogram, capacity)
+    logging.getLogger(__name__).info("%d sequences, at least %d needed, proven least: %s", used(patterns), bound, proven)
+    places = layout(patterns)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(first, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))

@@ -1,16 +1,21 @@
 """Personal data: base rules plus bootstrapped contextual extraction.
 
 Base rules find e-mail addresses, IPv4 addresses, card numbers and phone
-numbers. They seed the bootstrap. Every identifier-like word (it holds an at
-sign or six digits) stands in a lexical pattern: the word before it and its own
-shape. Patterns and identifiers form a graph. A pattern's score for a kind is
-the mean score of its distinct identifiers, damped for few of them; an
-identifier's is the chance that one of its patterns is right. Seeds keep score
-1 for their kind. After a few rounds, words that no base rule found but whose
-pattern and own score are high become spans of that kind.
+numbers. They seed the bootstrap. Candidates are strings of the loose form of
+a kind, spaces and signs included: a base span, or one that a base rule turns
+down, such as a number whose check sum fails. A candidate stands in two lexical
+patterns, the word before it and the word after it. Patterns and candidates
+form a graph. A pattern's score for a kind is the share of accepted ones among
+its distinct candidates of that kind's form, damped for few of them; a
+candidate's is the chance that one of its high-scoring patterns is right. At
+first seeds alone are accepted. Each round accepts the candidates of high
+score, which raise the scores of the other patterns that they stand in, until
+a round accepts nothing new. Accepted candidates become spans wherever they
+stand.
 
 All of it is DataFrame expressions; positions come from the pieces that a
-split leaves between matches.
+split leaves between matches, and so do the words around them, so that the
+work is linear in the text and no context is cut.
 """
 
 from __future__ import annotations
@@ -32,14 +37,23 @@ BASE = {
 }
 # Texts without these have no such match, and skip the search.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Rounds of scoring, the score that counts as high, and the weight of doubt
-#: that a pattern starts with, in identifiers.
-ROUNDS, CONFIDENT, DOUBT = 4, 0.8, 1.0
-
-
-def located(text: Column, pattern: str) -> Column:
-    """Array of (s, e, v): code point start and end, and text, of each match."""
+# Maximal strings that may be a candidate: words around an at sign, and digits
+# with one or two signs between their runs.
+CANDIDATE = r"[\p{L}0-9._%+-]++@(?:[\p{L}0-9_%+-]++(?:\.[\p{L}0-9_%+-]++)*+)?|\+?+\(?+[0-9]++(?:[\x20().-]{1,2}\(?+[0-9]++)*+"
+# Loose forms by kind, as whole matches; card and phone count digits besides.
+FORMS = {"email": r"^[^@]++@[^@]++$", "ip": r"^[0-9]++(?:\.[0-9]++){3}$", "card": r"^[0-9]++(?:[\x20-][0-9]++)*+$", "phone": r"^\+?+[0-9\x20().-]++$"}
+DIGITS = {"card": (12, 19), "phone": (9, 15)}
+#: The score that counts as high, and the weight of doubt that a pattern starts
+#: with, in candidates.
+CONFIDENT, DOUBT = 0.8, 1.0
+
+
+def located(text: Column, pattern: str, around: bool = False) -> Column:
+    """Array of (s, e, v): code point start and end, and text, of each match;
+    if around, with left and right, the texts between it and its neighbours."""
+    if around:
+        pieces = F.split(text, pattern, -1)
+        return F.transform(located(text, pattern), lambda m, i: m.withField("left", F.get(pieces, i)).withField("right", F.get(pieces, i + 1)))
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s int, e int, v string>>)").alias("out"))
 
@@ -88,26 +102,22 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"]))
 
 
-def identifiers(text: Column) -> Column:
-    """Array of (s, e, v, left) of identifier-like words, without outer signs."""
-    none = F.expr("cast(array() as array<struct<s int, e int, v string, left string>>)")
-
-    def trimmed(m):
-        core = F.regexp_replace(F.regexp_replace(m["v"], r"^[^\p{L}0-9+]++", ""), r"[^\p{L}0-9]++$", "")
-        s = m["s"] + F.length(m["v"]) - F.length(F.regexp_replace(m["v"], r"^[^\p{L}0-9+]++", ""))
-        before = F.substring(text, F.greatest(m["s"] - 63, F.lit(1)), F.least(m["s"], F.lit(64)))
-        left = F.lower(F.regexp_extract(before, r"([\p{L}]*)[^\p{L}]*$", 1))
-        return F.struct(s.alias("s"), (s + F.length(core)).alias("e"), core.alias("v"), left.alias("left"))
+def candidates(text: Column) -> Column:
+    """Array of (s, e, v, left, right, forms) of candidates: the words before and
+    after, in lower case, and the numbers of the kinds whose loose form v has."""
+    none = F.expr("cast(array() as array<struct<s int, e int, v string, left string, right string, forms array<int>>>)")
 
-    found = F.transform(located(text, IDENTIFIER), trimmed)
-    kept = F.filter(found, lambda m: (F.length(_digits(m["v"])) >= 6) | (m["v"].contains("@") & (F.length(m["v"]) >= 5)))
-    return F.when(text.rlike("[0-9@]"), kept).otherwise(none)
+    def described(m):
+        v, n = m["v"], F.length(_digits(m["v"]))
+        fits = [v.rlike(FORMS[kind]) & (n.between(*DIGITS[kind]) if kind in DIGITS else F.lit(True)) for kind in KINDS]
+        forms = F.filter(F.array(*[F.when(f, F.lit(k)) for k, f in enumerate(fits)]), lambda k: k.isNotNull())
+        left = F.lower(F.regexp_extract(m["left"], r"(?<!\p{L})(\p{L}++)[^\p{L}]*+$", 1))
+        right = F.lower(F.regexp_extract(m["right"], r"^[^\p{L}]*+(\p{L}++)", 1))
+        return F.struct(m["s"].alias("s"), m["e"].alias("e"), v.alias("v"), left.alias("left"), right.alias("right"), forms.alias("forms"))
 
-
-def shape(v: Column) -> Column:
-    """Runs of letters as a, runs of digits as 9; all-digit words keep their length."""
-    general = F.regexp_replace(F.regexp_replace(F.lower(v), r"\p{L}+", "a"), "[0-9]+", "9")
-    return F.when(v.rlike("^[0-9]+$"), F.concat(F.lit("9x"), F.length(v).cast("string"))).otherwise(F.regexp_replace(general, "(?:a9){2,}a?|(?:9a){2,}9?", "hex"))
+    likely = lambda m: m["v"].contains("@") | (F.length(_digits(m["v"])) >= 9) | m["v"].rlike(FORMS["ip"])
+    found = F.transform(F.filter(located(text, CANDIDATE, around=True), likely), described)
+    return F.when(text.rlike(r"@|[0-9](?:[\x20().-]{0,3}[0-9]){8}|[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), F.filter(found, lambda m: F.size(m["forms"]) > 0)).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:
@@ -115,58 +125,65 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", F.get(names, m["k"]), m["s"].cast("string"), m["e"].cast("string"))), ",")
 
 
-def score_graph(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS, doubt: float = DOUBT) -> tuple[DataFrame, DataFrame]:
-    """Pattern scores (pat, k, p) and identifier scores (v, k, q).
+def bootstrap(edges: DataFrame, scratch: Scratch, confident: float = CONFIDENT, doubt: float = DOUBT) -> tuple[DataFrame, int]:
+    """Accepted candidates (v, k, q) that are no seeds, and how many rounds accepted some.
 
-    edges has one row for each distinct (pat, v), with seed, the kind of v
-    where a base rule names one. An unnamed identifier starts at 0.
+    edges has one row for each distinct (pat, v, k) of a candidate and a kind
+    whose form it has, with seed, the kind of v where a base rule names one.
+    Scores are rounded, so that the order of sums decides no tie. A candidate
+    that high-scoring patterns give several kinds gets the likeliest, of ties
+    the first. Accepted ones keep their kind and score; the set only grows,
+    so the rounds end.
     """
-    support = edges.groupBy("pat").agg(F.count("*").alias("n"))
-    kinds = edges.where("seed is not null").select("pat", F.col("seed").alias("k")).distinct()
-    pats = scratch.keep(kinds.join(support, "pat"))
-    seeds = edges.where("seed is not null").select("pat", F.col("seed").alias("k")).groupBy("pat", "k").agg(F.count("*").alias("own"))
-    seeds = scratch.keep(seeds)
-    free = scratch.keep(edges.where("seed is null").select("pat", "v"))
-    q = None
-    for _ in range(rounds):
-        own = pats.join(seeds, ["pat", "k"])
-        if q is not None:
-            gained = free.join(q, "v").groupBy("pat", "k").agg(F.sum("q").alias("more"))
-            own = own.join(gained, ["pat", "k"], "left")
-        else:
-            own = own.withColumn("more", F.lit(0.0))
-        p = scratch.keep(own.select("pat", "k", ((F.col("own") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + doubt)).alias("p")))
+    support = scratch.keep(edges.groupBy("pat", "k").agg(F.count("*").alias("n"), F.count_if(F.col("seed").eqNullSafe(F.col("k"))).alias("own")))
+    free = scratch.keep(edges.where("seed is null").select("pat", "v", "k"))
+    accepted, rounds = scratch.keep(free.select("v", "k", F.lit(0.0).alias("q")).where("false")), 0
+    while True:
+        gained = free.join(accepted, ["v", "k"]).groupBy("pat", "k").agg(F.count("*").alias("more"))
+        scored = support.join(gained, ["pat", "k"], "left").select("pat", "k", F.round((F.col("own") + F.coalesce("more", F.lit(0))) / (F.col("n") + doubt), 9).alias("p"))
+        high = scratch.keep(scored.where(F.col("p") >= confident))
         miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))
-        q = scratch.keep(free.join(p, "pat").groupBy("v", "k").agg((1 - miss).alias("q")))
-    return p, q
-
-
-def find_pii(docs: DataFrame, id_col="doc_id", text_col="text", rounds: int = ROUNDS, confident: float = CONFIDENT, doubt: float = DOUBT) -> DataFrame:
+        reached = free.join(high, ["pat", "k"]).groupBy("v", "k").agg(F.round(1 - miss, 9).alias("q"))
+        best = reached.groupBy("v").agg(F.max(F.struct("q", (-F.col("k")).alias("nk"))).alias("m")).select("v", (-F.col("m.nk")).alias("k"), "m.q")
+        new = scratch.keep(best.join(accepted.select("v"), "v", "left_anti"))
+        if new.isEmpty():
+            scratch.drop(support, free, high, new)
+            return accepted, rounds
+        grown = scratch.keep(accepted.unionAll(new))
+        scratch.drop(accepted, high, new)
+        accepted, rounds = grown, rounds + 1
+
+
+def find_pii(docs: DataFrame, id_col="doc_id", text_col="text", confident: float = CONFIDENT, doubt: float = DOUBT) -> DataFrame:
     """One row per document: id, n_<kind> of base spans, base_sha256, spans, n_added.
 
     Spans are kind:start:end in code points, end exclusive, by start and then
     kind, comma-joined; spans holds base and added ones. Added spans overlap no
     base span. Null and empty texts have none. Rows that repeat an id are
-    reported each for its own text; a null id is kept. Other columns are
-    ignored and an empty table gives no rows.
+    reported each for its own text; a null id is kept. Tied scores go to the
+    kind listed first. Other columns are ignored and an empty table gives no
+    rows.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", F.xxhash64(text).alias("th"), F.length(text).alias("size"), base_spans(text).alias("base"), identifiers(text).alias("words"))
+    rows = rows.select("id", base_spans(text).alias("base"), candidates(text).alias("words"))
     found = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     words = found.where("size(words) > 0").select("row", "base", F.inline("words"))
     hit = F.filter("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
     same = F.filter(hit, lambda b: (b["s"] == F.col("s")) & (b["e"] == F.col("e")))
-    # a word inside a longer base span is neither a seed nor free
-    words = words.select("row", "s", "e", "v", F.concat_ws(" ", "left", shape(F.col("v"))).alias("pat"), F.get(same, F.lit(0))["k"].alias("seed"), F.size(hit).alias("hits"))
+    words = words.select("row", "s", "e", "v", "left", "right", "forms", F.get(same, F.lit(0))["k"].alias("seed"), F.size(hit).alias("hits"))
+    # a candidate that a base span lies in, or cuts, is neither a seed nor free
     words = scratch.keep(words.where("seed is not null or hits = 0").drop("hits"))
-    edges = scratch.keep(words.groupBy("pat", "v").agg(F.min("seed").alias("seed")))
-    p, q = score_graph(edges, scratch, rounds, doubt)
-    free = words.where("seed is null")
-    best = free.join(p.where(F.col("p") >= confident), "pat").join(q.where(F.col("q") >= confident), ["v", "k"])
-    added = best.groupBy("row", "s", "e").agg(F.max(F.struct("p", (-F.col("k")).alias("nk"))).alias("m")).select("row", "s", "e", (-F.col("m.nk")).alias("k"))
-    added = added.groupBy("row").agg(F.collect_list(F.struct("s", "e", "k")).alias("added"))
+    pats = F.filter(F.array(F.when(F.col("left") != "", F.concat(F.lit("<"), "left")), F.when(F.col("right") != "", F.concat(F.lit(">"), "right"))), lambda p: p.isNotNull())
+    kinds = F.array_union(F.col("forms"), F.filter(F.array("seed"), lambda k: k.isNotNull()))
+    edges = words.select("v", "seed", kinds.alias("kinds"), F.explode(pats).alias("pat")).select("pat", "v", "seed", F.explode("kinds").alias("k"))
+    edges = scratch.keep(edges.groupBy("pat", "v", "k").agg(F.min("seed").alias("seed")))
+    # a value that is a seed anywhere is one in all its patterns
+    seeds = edges.where("seed is not null").groupBy("v").agg(F.min("seed").alias("kind"))
+    whole = scratch.keep(edges.join(scratch.keep(seeds), "v", "left").select("pat", "v", "k", F.col("kind").alias("seed")))
+    accepted, _ = bootstrap(whole, scratch, confident, doubt)
+    added = words.where("seed is null").join(accepted.select("v", "k"), "v").groupBy("row").agg(F.collect_list(F.struct("s", "e", "k")).alias("added"))
     joined = found.drop("words").join(added, "row", "left")
     both = F.concat(F.transform("base", lambda b: F.struct(b["s"], b["e"], b["k"])), F.coalesce("added", F.expr("cast(array() as array<struct<s int, e int, k int>>)")))
     both = F.array_sort(both, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"]))

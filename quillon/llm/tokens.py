@@ -68,6 +68,20 @@ class WordBpe(dict):
         self.ends[[r for k, r in ranks.items() if k.endswith(b"\n")]] = True
         self.bpe = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
+    @staticmethod
+    def chunks(text: str) -> list[str] | None:
+        """The lower-cased text's chunks; None if it needs the own tokenizer.
+
+        Both the text and its lower case must be plain: some capitals of the
+        Latin blocks have their small letters beyond them.
+        """
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return None
+        low = text.lower()
+        if not text.isascii() and not (_PLAIN.fullmatch(low) and unicodedata.is_normalized("NFC", text)):
+            return None
+        return low.split()
+
     def learn(self, chunks: list[str]) -> None:
         """Adds lower-case chunks of plain characters to the cache at one go."""
         words, counts = [], []
@@ -86,7 +100,7 @@ class WordBpe(dict):
         """Each text's ids without special tokens, as little-endian uint32."""
         if len(self) > CACHE_CHUNKS:
             self.clear()
-        split = [t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) and "<|" not in t else None for t in texts]
+        split = [self.chunks(t) for t in texts]
         new = set()
         for chunks in split:
             if chunks:

@@ -10,6 +10,8 @@ the mean, a bucket's embedding folds into one number for scoring.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +22,11 @@ BUCKETS_LOG2, DIM, GRAMS = 15, 8, (3, 4, 5)
 #: The classifier is fitted on at most so many labelled rows of each class,
 #: taken in the order of a hash of their ids.
 SAMPLE_PER_CLASS = 1000
+#: Their texts have at most so many bytes together; one that would go beyond is
+#: passed over for the next.
+SAMPLE_BYTES = 32 << 20
+#: Rows that the fit spreads out at a time.
+DENSE_ROWS = 256
 EPOCHS, RATE, DECAY = 100, 0.1, 1e-4
 CHUNK = 1 << 20
 _SPACE = np.arange(256, dtype=np.uint8)
@@ -63,14 +70,21 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray):
     return out, at
 
 
-def fit(counts: np.ndarray, toxic: np.ndarray, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Folded bucket scores and bias from rows of mean gram counts.
+def dense(rows: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> np.ndarray:
+    """Sparse rows (buckets, shares) spread out."""
+    out = np.zeros((len(rows), buckets), np.float32)
+    for row, (at, share) in zip(out, rows):
+        row[at] = share
+    return out
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, prior: float, epochs: int = EPOCHS, buckets: int = 1 << BUCKETS_LOG2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket embeddings, softmax weights and biases from rows of mean gram counts.
 
     Embeddings and softmax weights move together by Adam on the class-balanced
     cross entropy; the bias then shifts to the given share of toxic rows.
     """
     rng = np.random.default_rng(8)
-    n, buckets = counts.shape
     scale = np.float32(np.sqrt(buckets))
     e = rng.normal(0, 0.1, (buckets, DIM)).astype(np.float32)
     w = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
@@ -81,29 +95,38 @@ def fit(counts: np.ndarray, toxic: np.ndarray, prior: float, epochs: int = EPOCH
     params = [e, w, b]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, epochs + 1):
-        hidden = (counts @ e) * scale
-        z = hidden @ w + b
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - target) * weight[:, None]
-        grads = [(counts.T @ (g @ w.T)) * scale + DECAY * e, hidden.T @ g + DECAY * w, g.sum(axis=0)]
+        grads = [DECAY * e, DECAY * w, np.zeros_like(b)]
+        for i in range(0, len(rows), DENSE_ROWS):
+            own = slice(i, i + DENSE_ROWS)
+            counts = dense(rows[own], buckets)
+            hidden = (counts @ e) * scale
+            z = hidden @ w + b
+            z -= z.max(axis=1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(axis=1, keepdims=True)
+            g = (p - target[own]) * weight[own, None]
+            for total, more in zip(grads, ((counts.T @ (g @ w.T)) * scale, hidden.T @ g, g.sum(axis=0))):
+                total += more
         for i, (q, d) in enumerate(zip(params, grads)):
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.999 * v[i] + 0.001 * d * d
             q -= RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    folded = (e @ (w[:, 1] - w[:, 0])) * scale
-    return folded.astype(np.float32), float(b[1] - b[0] + np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+    b[1] += np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+    return e * scale, w, b
+
+
+def fold(e: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """One number for each bucket and a bias: the log odds are linear in the mean embedding."""
+    return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
 
 
-def row_counts(texts: list[bytes]) -> np.ndarray:
-    """Mean gram counts of whole texts: rows that sum to 1, or 0 without grams."""
-    out = np.zeros((len(texts), 1 << BUCKETS_LOG2), np.float32)
-    for k, t in enumerate(texts):
+def row_counts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean gram counts of whole texts as sparse rows that sum to 1, or empty without grams."""
+    out = []
+    for t in texts:
         grams, _ = gram_buckets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        found = np.concatenate([x[ok] for x, ok in grams])
-        if len(found):
-            out[k] = np.bincount(found, minlength=out.shape[1]) / len(found)
+        at, n = np.unique(np.concatenate([x[ok] for x, ok in grams]), return_counts=True)
+        out.append((at.astype(np.uint16), (n / max(n.sum(), 1)).astype(np.float32)))
     return out
 
 
@@ -135,33 +158,48 @@ def in_fold(id_col, folds: int = 5):
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> tuple[np.ndarray, float]:
     """Fits on labelled rows outside the held-out fold; see SAMPLE_PER_CLASS.
 
-    Ids labelled more than once count once, as toxic if any label says so;
-    null ids and labels are left out. Without rows of both classes every score
-    is the share of toxic labels.
+    Ids labelled more than once count once, as toxic if any label says so; of
+    documents that repeat an id, the text of the least hash is taken; null ids
+    and labels are left out. Without rows of both classes every score is the
+    share of toxic labels.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.where(~in_fold("id")).groupBy("id").agg(F.max("y").alias("y"))
     share = known.agg(F.avg("y")).first()[0]
+    if share in (None, 0.0, 1.0):
+        return _constant(share or 0.0)
     order = [F.xxhash64("id"), F.col("id")]
     picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(*order).limit(SAMPLE_PER_CLASS).collect()]
-    if share in (None, 0.0, 1.0):
-        return np.zeros(1 << BUCKETS_LOG2, np.float32), float(np.log(max(share or 0, 1e-6) / max(1 - (share or 0), 1e-6)))
-    sample = spark.createDataFrame([(r["id"], r["y"]) for r in picked], "id bigint, y int")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").collect()
-    rows = sorted(((r["id"], (r["text"] or "").encode(), r["y"]) for r in rows))
-    y = np.array([r[2] for r in rows], bool)
+    sample = spark.createDataFrame([(r["id"], r["y"]) for r in picked], "id bigint, y int")  # 2 * SAMPLE_PER_CLASS short rows
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    found = texts.join(F.broadcast(sample), "id")
+    sized = found.groupBy("id", "y").agg(F.min(F.struct("th", F.octet_length("text").alias("size"))).alias("m")).select("id", "y", "m.*").collect()
+    room, chosen = SAMPLE_BYTES, {}
+    for r in sorted(sized, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"])):
+        if r["size"] <= room:
+            room -= r["size"]
+            chosen[r["id"], r["th"]] = r["y"]
+    picks = spark.createDataFrame(list(chosen), "id bigint, th bigint")
+    rows = {(r["id"], r["th"]): r["text"] for r in texts.join(F.broadcast(picks), ["id", "th"]).dropDuplicates(["id", "th"]).collect()}
+    keys = sorted(rows)
+    y = np.array([chosen[k] for k in keys], bool)
     if y.all() or not y.any():
-        return np.zeros(1 << BUCKETS_LOG2, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    return fit(row_counts([r[1] for r in rows]), y, share)
+        return _constant(share)
+    return fold(*fit(row_counts([rows[k].encode() for k in keys]), y, share))
+
+
+def _constant(share: float) -> tuple[np.ndarray, float]:
+    return np.zeros(1 << BUCKETS_LOG2, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
     Null and empty texts score as the model's bias alone. A null id is scored
-    as any other and counts as not held out by an id of "". Repeated rows are
-    each scored; other columns are ignored.
+    as any other and counts as held out, as an id of "" has the remainder 0;
+    nothing is learnt from it. A score of 0.5 is predicted toxic. Repeated rows
+    are each scored; other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = texts.mapInArrow(scorer(*model), "id bigint, score double")
@@ -174,7 +212,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], text_col="text") -> DataFrame:
-    """docs, all columns, without the rows whose score is 0.5 or more."""
+    """docs, all columns, without the rows whose score is 0.5 or more.
+
+    Null and empty texts score as the model's bias alone; null ids and repeated
+    rows are scored each for its own text; an empty table stays empty.
+    """
     score, place = scorer(*model), docs.columns.index(text_col)
 
     def keep(batches):
