@@ -35,7 +35,7 @@ BANDS, ROWS, SKETCH_BITS, LEAST_ESTIMATE = 32, 4, 512, 0.5
 SAMPLES = BANDS * ROWS
 CHUNK = 1 << 20
 #: Members on each side of a block of sketches, and of a part of it that compares full sets.
-BLOCK, PART = 4096, 256
+BLOCK, PART = 1024, 256
 
 
 def signatures(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:

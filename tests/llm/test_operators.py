@@ -69,7 +69,7 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(texts)
 
 
-@pytest.mark.parametrize("block, part", [(16, 4), (4096, 256)])
+@pytest.mark.parametrize("block, part", [(16, 4), (1024, 256)])
 def test_hot_cloud_of_near_copies(spark, monkeypatch, block, part):
     monkeypatch.setattr(near_dedup, "BLOCK", block)  # buckets in many blocks and parts, or in one
     monkeypatch.setattr(near_dedup, "PART", part)
