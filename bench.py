@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from quillon.plans import registry
 
 HEADLINE = (
-    "p95_by_hour", "a_req", "a_qry", "a_job", "a_cache", "a_tier_day_qry", "a_merge_req", "a_dds_qry", "a_hist_wide", "q_pctl_qry",
+    "p95_by_hour", "a_req", "a_qry", "a_job", "a_cache", "a_tier_day_qry", "a_merge_req", "a_dds_qry", "a_hist_wide", "q_pctl_qry", "q_sketch_50", "q_sketch_all", "q_sketch_50", "q_sketch_all",
     "w_conc", "w_peak", "i_exc", "i_thr_query", "w_streak", "j_trace", "j_dict", "m_ckr", "q_users", "q_n1", "src_parse", "p_def", "h_diagnose",
 )
 

@@ -14,6 +14,12 @@ def truthy(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string"))).isin("1", "true", "on", "yes")
 
 
+def whole(c: Column) -> Column:
+    """Text of a number as a whole one, its fraction cut; true is 1, false 0; null if it is none."""
+    number = F.coalesce(c.try_cast("long"), F.when(F.abs(c.try_cast("double")) < 9e18, c.try_cast("double").cast("long")))
+    return F.when(c == "true", F.lit(1).cast("long")).when(c == "false", F.lit(0).cast("long")).otherwise(number)
+
+
 def hex32(c: Column) -> Column:
     """Lower-case 32-digit hashes as they are, anything else as its md5."""
     return F.when(c.rlike("^[0-9a-fA-F]{32}$"), F.lower(c)).otherwise(F.md5(c.cast("binary")))
@@ -50,7 +56,34 @@ def route_name(methods_json: Column, path: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    return F.when(n >= 1 << 30, F.format_string("%.1f GB", n / (1 << 30))).when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20))).when(n >= 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%d B", n.cast("long")))
+    """KB, MB or GB to one decimal; below a megabyte KB."""
+    shown = lambda size, unit: F.concat(F.regexp_replace(F.round(n / float(size), 1).cast("string"), r"\.0$", ""), F.lit(f" {unit}"))
+    return F.when(n < 1 << 20, shown(1 << 10, "KB")).when(n < 1 << 30, shown(1 << 20, "MB")).otherwise(shown(1 << 30, "GB"))
+
+
+def human_seconds(n: Column) -> Column:
+    """Days from two of them, hours from two of them, else minutes, one at least."""
+    parts = lambda size, unit: F.concat(F.floor(n / size).cast("string"), F.lit(f" {unit}"))
+    return F.when(n >= 172_800, parts(86_400, "days")).when(n >= 7_200, parts(3_600, "hours")).otherwise(F.concat(F.greatest(F.floor(n / 60), F.lit(1)).cast("string"), F.lit(" minutes")))
+
+
+def millis(us: Column) -> Column:
+    """Microseconds as whole milliseconds, halves up."""
+    return F.round(us / 1000.0).cast("long")
+
+
+def busy_workers(us: Column) -> Column:
+    """Worker time within a minute as workers busy on average."""
+    return us / 60_000_000.0
+
+
+def saturation_message(percent: int, workers: int, minutes: int, worst_us: Column) -> Column:
+    return F.format_string(f"Avg concurrency held at ≥{percent}%% of {workers} workers for {minutes} consecutive minutes (worst minute: %.1f busy)", busy_workers(worst_us))
+
+
+def is_power_of_two(n: Column) -> Column:
+    """1, 2, 4, ...: the repeats that are logged."""
+    return (n > 0) & (n.bitwiseAND(n - 1) == 0)
 
 
 @F.pandas_udf(T.BinaryType())

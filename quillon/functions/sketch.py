@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.histogram import EDGES
@@ -49,12 +50,33 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "idx").agg(F.sum("cnt").alias("cnt"))
 
 
+def add_ranged(df: DataFrame, keys: list[str], duration: str = "duration") -> DataFrame:
+    """Rows (keys, idx, cnt, min_duration, max_duration) of the non-null durations; the range is the cell's own."""
+    cells = df.where(F.col(duration).isNotNull()).groupBy(*keys, index_of(F.col(duration)).alias("idx"))
+    return cells.agg(F.count("*").alias("cnt"), F.min(duration).alias("min_duration"), F.max(duration).alias("max_duration"))
+
+
+def with_bins(sketches: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, idx, cnt): sketches, and for keys that have none their histogram bins (keys, bin, n) moved into sketch buckets."""
+    bare = bins.join(sketches.select(*keys).distinct(), keys, "left_anti")
+    moved = bare.groupBy(*keys, upconverted().alias("idx")).agg(F.sum("n").alias("cnt"))
+    return sketches.select(*keys, "idx", "cnt").unionByName(moved)
+
+
 def percentile(sketches: DataFrame, keys: list[str], p: float, low="min_duration", high="max_duration") -> DataFrame:
     """keys and estimate from rows (keys, idx, cnt, min, max), clamped to the range."""
+    return percentiles(sketches, keys, [p], low, high).drop("q")
+
+
+def percentiles(sketches: DataFrame, keys: list[str], ps, low="min_duration", high="max_duration") -> DataFrame:
+    """(keys, q, estimate) of several quantiles in one walk over the cells; the range is the least and most of a key's cells."""
     w = Window.partitionBy(*keys)
     walked = sketches.where("cnt > 0").withColumn("total", F.sum("cnt").over(w)).withColumn("upto", F.sum("cnt").over(w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
-    rank = F.greatest(F.ceil(F.col("total") * F.lit(p)), F.lit(1))
-    crossing = walked.where((F.col("upto") >= rank) & (F.col("upto") - F.col("cnt") < rank))
+    walked = walked.withColumn(low, F.min(low).over(w)).withColumn(high, F.max(high).over(w))
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.greatest(F.ceil(F.col("total") * F.lit(p)), F.lit(1)).alias("rank")) for p in ps])
+    crossed = F.filter(asked, lambda x: (F.col("upto") >= x["rank"]) & (F.col("upto") - F.col("cnt") < x["rank"]))
+    crossing = walked.withColumn("_q", F.explode(crossed)).withColumn("q", F.col("_q.q"))
+    rank = F.col("_q.rank")
     g, i = F.lit(101.0) / F.lit(99), F.col("idx")
     lower = F.when(i == UNDERFLOW, 0.0).when(i == OVERFLOW, float(MAX_VALUE)).otherwise(F.pow(g, i - 1))
     upper = F.when(i == UNDERFLOW, 1.0).when(i == OVERFLOW, float(MAX_VALUE)).otherwise(F.pow(g, i))
@@ -62,7 +84,7 @@ def percentile(sketches: DataFrame, keys: list[str], p: float, low="min_duration
     top = F.greatest(hi, lo)
     within = (rank - (F.col("upto") - F.col("cnt"))) / F.col("cnt")
     estimate = F.when(lo > 0, lo * F.pow(top / lo, within)).otherwise(top * within)
-    return crossing.select(*keys, F.least(F.greatest(estimate, F.col(low).cast("double")), F.col(high).cast("double")).alias("estimate"))
+    return crossing.select(*keys, "q", F.least(F.greatest(estimate, F.col(low).cast("double")), F.col(high).cast("double")).alias("estimate"))
 
 
 def percentile_sql(source: str, keys: str, p: float) -> str:
@@ -121,17 +143,27 @@ def unpack(data: bytes) -> dict[int, int]:
 
 def packed(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the packed bytes, one row a sketch."""
-    code = F.udf(lambda rows: pack({r["idx"]: r["cnt"] for r in rows}), "binary")
-    return sketches.groupBy(*keys).agg(code(F.collect_list(F.struct("idx", "cnt"))).alias("sketch"))
+
+    @F.pandas_udf("binary")
+    def code(indices: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([pack(dict(zip(map(int, i), map(int, n)))) for i, n in zip(indices, counts)], dtype=object)
+
+    cells = F.array_sort(F.collect_list(F.struct("idx", "cnt")))  # at most OVERFLOW + 2 cells a sketch
+    listed = sketches.groupBy(*keys).agg(cells.alias("_cells"))
+    return listed.select(*keys, code(F.col("_cells.idx"), F.col("_cells.cnt")).alias("sketch"))
 
 
 def sample_count(sketch: Column) -> Column:
     """Samples in a packed sketch; null where it is truncated."""
 
-    def count(data):
-        try:
-            return sum(unpack(bytes(data)).values()) if data is not None else None
-        except ValueError:
-            return None
+    @F.pandas_udf("bigint")
+    def count(data: pd.Series) -> pd.Series:
+        def one(raw):
+            try:
+                return None if raw is None else sum(unpack(bytes(raw)).values())
+            except ValueError:
+                return None
+
+        return pd.Series([one(x) for x in data], dtype="Int64")
 
-    return F.udf(count, "bigint")(sketch)
+    return count(sketch)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.operators import windows
 
@@ -59,9 +61,14 @@ def score(diagnoses: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFra
     return subjects.select(*keys).join(lost, keys, "left").select(*keys, s.cast("long").alias("score"), F.when(s >= 80, "healthy").when(s >= 40, "degraded").otherwise("critical").alias("band"))
 
 
-def lifecycle(diagnosed: DataFrame, keys: list[str], tick: str, debounce: int = 2, resolvable: int = 3) -> DataFrame:
-    """Runs of consecutive ticks per code: alerted after `debounce`, resolved notes after `resolvable`."""
+def lifecycle(diagnosed: DataFrame, keys: list[str], tick: str, debounce: int = 2, resolvable: int = 3, now_tick: int | None = None, kept: int = 300) -> DataFrame:
+    """Runs of consecutive ticks per code: alerted after `debounce`, resolved notes after `resolvable`.
+
+    With now_tick, runs that ended over `kept` ticks before it are forgotten.
+    """
     runs = windows.islands(diagnosed.select(*keys, "code", tick).distinct(), [*keys, "code"], tick)
+    if now_tick is not None:
+        runs = runs.where(F.lit(now_tick) - F.col("last_tick") <= kept)
     return runs.select(*keys, "code", "first_tick", "last_tick", "ticks", (F.col("ticks") >= debounce).alias("alerted"), (F.col("ticks") >= resolvable).alias("resolves"))
 
 
@@ -77,6 +84,59 @@ def alertable(diagnoses: DataFrame) -> DataFrame:
     return diagnoses.where("level <> 'info'")
 
 
+def worst_wedge(workers: DataFrame) -> DataFrame:
+    """(worker, stale_s, phase) of the worker blocked longest in one call; of ties the first; none if none is blocked."""
+    return workers.where("stale_s > 0").orderBy(F.desc("stale_s"), "worker").select("worker", "stale_s", "phase").limit(1)
+
+
+def cpu_usage(samples: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """samples of cumulated total and idle CPU ticks with usage_pct since the one before, to one decimal; 0 without progress, null at first."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    total, idle = F.col("total") - F.lag("total").over(w), F.col("idle") - F.lag("idle").over(w)
+    return samples.withColumn("usage_pct", F.when(total > 0, F.round((1 - idle / total) * 100, 1)).when(total.isNotNull(), 0.0))
+
+
+def memory_usage(total: Column, available: Column) -> Column:
+    return F.when(total > 0, F.round((1 - available / total) * 100, 1)).otherwise(0.0)
+
+
+def host_sample(root: str = "/proc") -> dict:
+    """One sample of this machine's counters: cumulated and idle CPU ticks, memory in bytes, load; what cannot be read is missing."""
+    out: dict = {}
+    try:
+        ticks = [int(x) for x in Path(root, "stat").read_text().split("\n", 1)[0].split()[1:8]]
+        out |= {"total": sum(ticks), "idle": ticks[3]}
+    except (OSError, ValueError, IndexError):
+        pass
+    try:
+        memory = dict(line.split(":", 1) for line in Path(root, "meminfo").read_text().splitlines() if ":" in line)
+        out |= {"memory_total": int(memory["MemTotal"].split()[0]) * 1024, "memory_available": int(memory["MemAvailable"].split()[0]) * 1024}
+    except (OSError, ValueError, KeyError):
+        pass
+    try:
+        out["load"] = [float(x) for x in Path(root, "loadavg").read_text().split()[:3]]
+    except (OSError, ValueError):
+        pass
+    return out
+
+
+def report(metrics: DataFrame, diagnoses: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, report): one JSON health document each, with its diagnoses by code."""
+    listed = diagnoses.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("code", "level"))).alias("diagnoses"))
+    pct = lambda part, whole, most: F.when(whole > 0, F.round(F.least(part / whole * 100, F.lit(most)), 2)).otherwise(0.0)
+    rates = F.col("ingest_rate") + F.col("rejected_rate")
+    joined = metrics.withColumn("rejected_rate", F.col("reject_rate") * F.col("ingest_rate")).join(scores, keys).join(listed, keys, "left")
+    empty = F.expr("cast(array() as array<struct<code: string, level: string>>)")
+    document = F.struct(
+        F.lit(1).alias("version"), F.col("band").alias("status"), F.col("score").alias("health_score"),
+        F.struct(F.col("ingest_rate").alias("rate_1m"), pct(F.col("rejected_rate"), rates, 100.0).alias("reject_pct")).alias("ingest"),
+        F.struct(F.col("drain_rate").alias("rate_1m"), F.col("failed_batches").alias("batches_failed"), F.col("pg_latency_ms"), (F.col("metrics_age_s") > 15).alias("metrics_stale")).alias("drain"),
+        F.struct(F.col("pending").alias("pending_rows"), F.col("max_pending").alias("max_pending_rows"), pct(F.col("pending"), F.col("max_pending"), 999.99).alias("utilization_pct"), F.col("back_pressure").alias("back_pressure_active")).alias("buffer"),
+        F.struct(F.col("cpu").alias("cpu_usage_pct"), F.col("memory").alias("memory_used_pct")).alias("system"), F.coalesce("diagnoses", empty).alias("diagnoses"),
+    )
+    return joined.select(*keys, F.to_json(document).alias("report"))
+
+
 def alert_payload(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Alerts as JSON documents, ready for a sink that posts them."""
     return rows.select(F.to_json(F.struct(*columns)).alias("payload"))
@@ -85,7 +145,12 @@ def alert_payload(rows: DataFrame, columns: list[str]) -> DataFrame:
 def for_channels(events: DataFrame, channels: DataFrame) -> DataFrame:
     """(channel, event rows) of enabled channels that ask for the event; a null list asks for all."""
     wanted = channels.where("enabled").select("channel", F.from_json("config", "notify_events array<string>").getField("notify_events").alias("wants"))
-    return events.join(F.broadcast(wanted), F.col("wants").isNull() | F.array_contains("wants", F.col("event"))).drop("wants")
+    # a row for each event name that a channel takes, so that the join is an equality
+    names = events.select("event").distinct()
+    takes = wanted.where("wants is not null").select("channel", F.explode(F.array_distinct("wants")).alias("event"))
+    every = wanted.where("wants is null").groupBy().agg(F.collect_list("channel").alias("channels"))
+    to_all = names.withColumn("_k", F.lit(1)).join(every.withColumn("_k", F.lit(1)), "_k").select(F.explode("channels").alias("channel"), "event")
+    return events.join(takes.join(names, "event", "left_semi").select("channel", "event").unionAll(to_all), "event")
 
 
 def backoff(interval: Column, streak: Column, most: float = 10.0) -> Column:

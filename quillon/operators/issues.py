@@ -34,7 +34,8 @@ def threshold_of(records: DataFrame, thresholds: DataFrame, kind: str) -> DataFr
     own = thresholds.where(F.col("type") == kind).groupBy("target").agg((F.max_by("duration_ms", "seq") * 1000).alias("us"))
     exact = own.where("target is not null").withColumnRenamed("us", "exact_us")
     general = own.where("target is null").agg(F.max("us").alias("general_us"))
-    joined = records.join(exact, "target", "left").join(general, F.lit(True), "left")
+    # one row of settings; the constant key makes it an equality, so no rows are crossed
+    joined = records.join(exact, "target", "left").withColumn("_all", F.lit(1)).join(general.withColumn("_all", F.lit(1)), "_all", "left").drop("_all")
     return joined.withColumn("threshold_us", F.coalesce("exact_us", "general_us")).drop("exact_us", "general_us")
 
 
@@ -50,8 +51,8 @@ def performance_groups(timed: DataFrame) -> DataFrame:
 
 
 def resolved_at(activity: DataFrame) -> DataFrame:
-    """(issue_id, resolved_at): the last time each issue was resolved."""
-    return activity.where("action = 'resolved'").groupBy("issue_id").agg(F.max("created_at").alias("resolved_at"))
+    """(issue_id, resolved_at): the last time each issue's status became resolved."""
+    return activity.where("action = 'status_changed' and new_value = 'resolved'").groupBy("issue_id").agg(F.max("created_at").alias("resolved_at"))
 
 
 def classify(groups: DataFrame, issues: DataFrame, activity: DataFrame, now: int, cooldown: int) -> DataFrame:
@@ -66,27 +67,51 @@ def classify(groups: DataFrame, issues: DataFrame, activity: DataFrame, now: int
     return groups.join(known, ISSUE_KEYS, "left").withColumn("state", state)
 
 
-def upsert(issues: DataFrame, classified: DataFrame, users: str = "replace") -> DataFrame:
-    """Issues after a batch: counts add, first_seen stays, last_seen grows.
+def upsert(issues: DataFrame, classified: DataFrame) -> DataFrame:
+    """Exception issues after a batch: counts add, first_seen and class stay,
+    last_seen grows, the users' exact count and the message are the batch's.
+    Status returns to open only for reopened issues."""
+    j, status = _folded(issues, classified, ["class", "message"])
+    return j.select(*ISSUE_KEYS, status, *_counts(F.coalesce("users_count", "old_users_count")), F.coalesce("old_class", "class").alias("class"), F.coalesce("message", "old_message").alias("message"))
 
-    users: "replace" takes the batch's exact distinct count, "greatest" the
-    larger one. Status returns to open only for reopened issues.
-    """
-    old = issues.select(*ISSUE_KEYS, *[F.col(c).alias(f"old_{c}") for c in ("status", "occurrences", "users_count", "first_seen", "last_seen")])
-    new = classified.select(*ISSUE_KEYS, "occurrences", "users_count", "first_seen", "last_seen", "state")
-    j = old.join(new, ISSUE_KEYS, "full_outer")
-    count = F.coalesce("users_count", "old_users_count") if users == "replace" else F.greatest("users_count", "old_users_count")
-    status = F.when(F.col("old_status").isNull(), "open").when(F.col("state") == "reopen", "open").otherwise(F.col("old_status"))
+
+def upsert_performance(issues: DataFrame, classified: DataFrame) -> DataFrame:
+    """Performance issues after a batch, as upsert() but for the larger users'
+    count, the batch's threshold, if it has one, and the longest duration."""
+    j, status = _folded(issues, classified, ["threshold_ms", "triggered_ms"])
+    zero = F.lit(0).cast("long")
     return j.select(
-        *ISSUE_KEYS, status.alias("status"), (F.coalesce("old_occurrences", F.lit(0)) + F.coalesce("occurrences", F.lit(0))).alias("occurrences"), count.alias("users_count"),
-        F.coalesce("old_first_seen", "first_seen").alias("first_seen"), F.greatest("old_last_seen", "last_seen").alias("last_seen"),
+        *ISSUE_KEYS, status, *_counts(F.greatest("users_count", "old_users_count")), F.coalesce("threshold_ms", "old_threshold_ms").alias("threshold_ms"),
+        F.greatest(F.coalesce("old_triggered_ms", zero), F.coalesce("triggered_ms", zero)).alias("triggered_ms"),
     )
 
 
+def _folded(issues: DataFrame, classified: DataFrame, more: list[str]) -> tuple[DataFrame, Column]:
+    old = issues.select(*ISSUE_KEYS, *[F.col(c).alias(f"old_{c}") for c in ("status", "occurrences", "users_count", "first_seen", "last_seen", *more)])
+    new = classified.select(*ISSUE_KEYS, "occurrences", "users_count", "first_seen", "last_seen", "state", *more)
+    status = F.when(F.col("old_status").isNull() | (F.col("state") == "reopen"), "open").otherwise(F.col("old_status"))
+    return old.join(new, ISSUE_KEYS, "full_outer"), status.alias("status")
+
+
+def _counts(users: Column) -> list[Column]:
+    zero = F.lit(0)
+    return [
+        (F.coalesce("old_occurrences", zero) + F.coalesce("occurrences", zero)).alias("occurrences"), users.alias("users_count"),
+        F.coalesce("old_first_seen", "first_seen").alias("first_seen"), F.greatest("old_last_seen", "last_seen").alias("last_seen"),
+    ]
+
+
 def reopened_activity(issues: DataFrame, classified: DataFrame, now: int) -> DataFrame:
     """Activity rows for reopened issues that are open after the upsert."""
     reopened = classified.where("state = 'reopen'").select(*ISSUE_KEYS)
-    return issues.where("status = 'open'").join(reopened, ISSUE_KEYS, "left_semi").select(*ISSUE_KEYS, F.lit("reopened").alias("action"), F.lit(now).alias("created_at"))
+    changed = [F.lit(v).alias(c) for c, v in (("actor_type", "agent"), ("action", "status_changed"), ("old_value", "resolved"), ("new_value", "open"))]
+    return issues.where("status = 'open'").join(reopened, ISSUE_KEYS, "left_semi").select(*ISSUE_KEYS, *changed, F.lit(now).cast("long").alias("created_at"))
+
+
+def fresh_alerts(classified: DataFrame, issues: DataFrame) -> DataFrame:
+    """New groups (neither known nor reopened), with what the issues after the upsert say of them."""
+    stored = issues.select(*ISSUE_KEYS, *[F.col(c).alias(f"issue_{c}") for c in ("status", "occurrences", "users_count", "first_seen", "last_seen")])
+    return classified.where("state = 'new'").join(stored, ISSUE_KEYS, "left")
 
 
 def dedupe(issues: DataFrame) -> DataFrame:

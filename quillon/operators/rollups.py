@@ -7,6 +7,7 @@ minutes into hours and days are the same groupBy.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -111,6 +112,30 @@ def to_tier(rollup: DataFrame, spec: RollupSpec, tier: str) -> DataFrame:
     return merge(rollup.withColumn("bucket_start", F.date_trunc(tier, "bucket_start").cast("timestamp_ntz")), spec)
 
 
+def best_tier(low: dt.datetime, high: dt.datetime) -> str:
+    """The coarsest tier whose buckets tile a window."""
+    for tier, step in (("day", 86_400), ("hour", 3600)):
+        if all((t - dt.datetime(1970, 1, 1)).total_seconds() % step == 0 for t in (low, high)):
+            return tier
+    return "minute"
+
+
+def covers(rollup: DataFrame, low: dt.datetime, high: dt.datetime, step: dt.timedelta) -> bool:
+    """The rollup's first and last buckets span the window; one row is read."""
+    r = rollup.agg(F.min("bucket_start").alias("low"), F.max("bucket_start").alias("high")).first()
+    return r["low"] is not None and r["low"] <= low and r["high"] + step >= high
+
+
+def read_window(raw: DataFrame, stored: dict[str, DataFrame], spec: RollupSpec, low: dt.datetime, high: dt.datetime) -> DataFrame:
+    """A window's rollup rows: of the coarsest stored tier that tiles and spans it, else made from raw rows."""
+    steps = {"minute": dt.timedelta(minutes=1), "hour": dt.timedelta(hours=1), "day": dt.timedelta(days=1)}
+    order = list(reversed(TIERS))
+    for tier in order[order.index(best_tier(low, high)) :]:
+        if tier in stored and covers(stored[tier], low, high, steps[tier]):
+            return stored[tier].where((F.col("bucket_start") >= F.lit(low).cast("timestamp_ntz")) & (F.col("bucket_start") < F.lit(high).cast("timestamp_ntz")))
+    return aggregate(raw.where((F.col("created_at") >= F.lit(low).cast("timestamp_ntz")) & (F.col("created_at") < F.lit(high).cast("timestamp_ntz"))), spec, best_tier(low, high))
+
+
 def durations(df: DataFrame, spec: RollupSpec, tier: str = "minute") -> DataFrame:
     return keyed(df.where(spec.duration_where).where("duration is not null"), spec, tier)
 

@@ -61,11 +61,23 @@ def islands(ticks: DataFrame, keys: list[str], tick: str) -> DataFrame:
     return ticks.withColumn("g", F.col(tick) - n).groupBy(*keys, "g").agg(F.min(tick).alias("first_tick"), F.max(tick).alias("last_tick"), F.count("*").alias("ticks")).drop("g")
 
 
-def ewma(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """(keys, ewma): exponentially weighted mean, seeded by the first value."""
-    listed = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value].cast("double")).alias("v"))
-    folded = F.aggregate(F.slice(F.col("v"), 2, F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda a, x: F.lit(alpha) * x + F.lit(1 - alpha) * a)
-    return listed.select(*keys, folded.alias("ewma"))
+def ewma(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.3, block: int = 4096) -> DataFrame:
+    """(keys, ewma): exponentially weighted mean, seeded by the first value.
+
+    The mean is a weighted sum of the values, by how many come after each, so
+    that blocks of the order (block values of an integer order column each)
+    fold on their own and their sums combine; no task holds a whole key.
+    """
+    blocked = df.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(order) / block))
+    own = Window.partitionBy(*keys, "_b").orderBy(F.desc(order))
+    ranked = blocked.withColumn("_r", F.row_number().over(own) - 1)  # values after it in its block
+    keep = F.lit(1 - alpha)
+    folded = ranked.groupBy(*keys, "_b").agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double") * F.pow(keep, F.col("_r"))).alias("s"), F.min_by(F.col(value).cast("double"), order).alias("v0"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_b"))
+    placed = folded.withColumn("after", F.coalesce(F.sum("n").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = placed.groupBy(*keys).agg(F.sum(F.col("s") * F.pow(keep, F.col("after"))).alias("s"), F.sum("n").alias("n"), F.min_by("v0", "_b").alias("v0"))
+    # the first value's weight is (1 - alpha) ** (n - 1), not alpha times that
+    return total.select(*keys, (F.lit(alpha) * F.col("s") + keep * F.pow(keep, F.col("n") - 1) * F.col("v0")).alias("ewma"))
 
 
 def ring_average(df: DataFrame, keys: list[str], second: str, value: str, slots: int = 60) -> DataFrame:
@@ -74,9 +86,23 @@ def ring_average(df: DataFrame, keys: list[str], second: str, value: str, slots:
     return df.withColumn("ring_avg", F.sum(value).over(w) / F.lit(slots))
 
 
-def rates(df: DataFrame, keys: list[str], order: str, counter: str) -> DataFrame:
-    """Increase of a counter since the row before; a reset counts as 0."""
-    return df.withColumn("delta", F.greatest(F.col(counter) - F.lag(counter).over(Window.partitionBy(*keys).orderBy(order)), F.lit(0)))
+def rates(df: DataFrame, keys: list[str], order: str, counter: str, block: int = 65_536) -> DataFrame:
+    """df with delta, the increase of a counter since the row before; a reset counts as 0.
+
+    Rows are ordered within blocks of an integer order column; a block's first
+    row meets the last counter of the key's block before, so that a key with
+    many rows is not one task's.
+    """
+    blocked = df.withColumn("_b", F.floor(F.col(order) / block))
+    ends = blocked.groupBy(*keys, "_b").agg(F.max_by(counter, order).alias("_last"))
+    ends = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), "_before")
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = blocked.join(ends, same, "left").select(*df.columns, "_b", "_before")
+    before = F.coalesce(F.lag(counter).over(Window.partitionBy(*keys, "_b").orderBy(order)), F.col("_before"))
+    return joined.withColumn("delta", F.greatest(F.col(counter) - before, F.lit(0))).drop("_b", "_before")
 
 
 TOLERANCE_S = {"daily": 3 * DAY_S, "hourly": 3 * 3600, "minute": 900}
@@ -95,4 +121,4 @@ def stale(tables: DataFrame) -> DataFrame:
     t = tables.where(F.col("name").endswith("_rollups") & F.col("max_bucket").isNotNull()).withColumn("tier", tier_of(F.col("name")))
     lead = t.groupBy("tier").agg(F.max("max_bucket").alias("top"), F.count("*").alias("peers"))
     limit = F.create_map(*[F.lit(x) for kv in TOLERANCE_S.items() for x in kv])[F.col("tier")]
-    return t.join(F.broadcast(lead), "tier").withColumn("behind", F.col("top") - F.col("max_bucket")).where((F.col("peers") > 1) & (F.col("behind") > limit)).select("name", "behind")
+    return t.join(F.broadcast(lead), "tier").withColumn("behind", F.col("top") - F.col("max_bucket")).where((F.col("peers") > 1) & (F.col("behind") > limit)).select("name", "behind").orderBy(F.desc("behind"), "name")

@@ -123,13 +123,13 @@ def deltas(spark, d):
     return windows.rates(spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", "user_id"), ["event_type"], "event_id", "user_id").select("event_id", "delta")
 
 
-_TICKS = f"(select distinct environment, status_code as code, epoch_us(created_at) // {DAY} as tick from {S('requests')} r where environment is not null and status_code <> 200 and id % 3 = 0)"
+_TICKS = f"(select distinct environment, status_code as code, epoch_us(created_at) // {DAY} as tick from {S('requests')} r where environment is not null and status_code = 500)"
 
 
 @query("w_life", f"""with g as (select *, tick - row_number() over (partition by environment, code order by tick) as g from {_TICKS} t)
 select environment, code, min(tick) as first_tick, max(tick) as last_tick, count(*) as ticks, count(*) >= 2 as alerted, count(*) >= 3 as resolves from g group by environment, code, g""")
 def lifecycle(spark, d):
-    t = records(spark, d, "requests").where("environment is not null and status_code <> 200 and id % 3 = 0").select("environment", F.col("status_code").alias("code"), F.expr(f"ts_us div {DAY}").alias("tick"))
+    t = records(spark, d, "requests").where("environment is not null and status_code = 500").select("environment", F.col("status_code").alias("code"), F.expr(f"ts_us div {DAY}").alias("tick"))
     return health.lifecycle(t, ["environment"], "tick")
 
 
@@ -172,33 +172,37 @@ def distinct_set(spark, d):
     return records(spark, d, "requests").where("user_id is not null").groupBy("environment").agg(F.countDistinct("user_id").alias("users"))
 
 
-@query("a_vit", f"select environment, count(*) as requests, count(*) filter (where status_code >= 500) as server_errors from {S('requests')} r group by 1")
-def vitals(spark, d):
-    return records(spark, d, "requests").groupBy("environment").agg(F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 500).alias("server_errors"))
-
-
-_KNOWN_D = f"(select row_number() over (order by group_hash, environment) as issue_id, group_hash, 'exception' as type, environment, case (occurrences + first_seen) % 3 when 0 then 'open' when 1 then 'resolved' else 'ignored' end as status, occurrences % 50 as occurrences, users_count, first_seen - 1000 as first_seen, last_seen - 5000 as last_seen from {_GROUPS} g where first_seen % 4 <> 0)"
+_KNOWN_D = f"(select cast('0x' || substr(md5(group_hash || '|' || environment), 1, 8) as bigint) as issue_id, group_hash, 'exception' as type, environment, case (occurrences + first_seen) % 3 when 0 then 'open' when 1 then 'resolved' else 'ignored' end as status, occurrences % 50 as occurrences, users_count, first_seen - 1000 as first_seen, last_seen - 5000 as last_seen, 'Old' || class as class, 'before' as message from {_GROUPS} g where first_seen % 4 <> 0)"
 
 
 def known_issues(spark, d):
     """Stored issues derived from most of the groups, for the lifecycle queries."""
     g = exception_groups(spark, d).where("first_seen % 4 <> 0")
     status = F.expr("case (occurrences + first_seen) % 3 when 0 then 'open' when 1 then 'resolved' else 'ignored' end")
-    return storage.row_ids(g, "group_hash").select(
-        F.row_number().over(Window.orderBy("group_hash", "environment")).cast("long").alias("issue_id"), "group_hash", F.lit("exception").alias("type"), "environment", status.alias("status"),
-        (F.col("occurrences") % 50).alias("occurrences"), "users_count", (F.col("first_seen") - 1000).alias("first_seen"), (F.col("last_seen") - 5000).alias("last_seen"),
+    return g.select(
+        _issue_id("group_hash", "environment"), "group_hash", F.lit("exception").alias("type"), "environment", status.alias("status"), (F.col("occurrences") % 50).alias("occurrences"), "users_count",
+        (F.col("first_seen") - 1000).alias("first_seen"), (F.col("last_seen") - 5000).alias("last_seen"), F.concat(F.lit("Old"), "class").alias("class"), F.lit("before").alias("message"),
     )
 
 
-_ACTIVITY_D = f"(select issue_id, 'resolved' as action, last_seen // 1000000 as created_at from {_KNOWN_D} k where status = 'resolved' and issue_id % 3 <> 0 union all select issue_id, 'commented', last_seen // 1000000 + 99 from {_KNOWN_D} k)"
+def _issue_id(*keys):
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys).cast("binary")), 1, 8), 16, 10).cast("long").alias("issue_id")
+
+
+_ACTIVITY_D = f"(select issue_id, 'status_changed' as action, 'resolved' as new_value, last_seen // 1000000 as created_at from {_KNOWN_D} k where status = 'resolved' and issue_id % 3 <> 0 union all select issue_id, 'status_changed', 'ignored', last_seen // 1000000 + 50 from {_KNOWN_D} k union all select issue_id, 'commented', null, last_seen // 1000000 + 99 from {_KNOWN_D} k)"
 _COOL = 2 * 86_400
 _SNAP = f"""(select g.*, k.issue_id, k.status, a.resolved_at, case when k.issue_id is null then 'new' when k.status <> 'resolved' then 'existing' when a.resolved_at is null or greatest({NOW // 1_000_000} - a.resolved_at, 0) >= {_COOL} then 'reopen' else 'cooling' end as state
-from {_GROUPS} g left join {_KNOWN_D} k using (group_hash, environment) left join (select issue_id, max(created_at) as resolved_at from {_ACTIVITY_D} a where action = 'resolved' group by 1) a on a.issue_id = k.issue_id)"""
+from {_GROUPS} g left join {_KNOWN_D} k using (group_hash, environment) left join (select issue_id, max(created_at) as resolved_at from {_ACTIVITY_D} a where new_value = 'resolved' group by 1) a on a.issue_id = k.issue_id)"""
 
 
 def activity(known):
-    a = known.where("status = 'resolved' and issue_id % 3 <> 0").select("issue_id", F.lit("resolved").alias("action"), F.expr("last_seen div 1000000").alias("created_at"))
-    return a.unionByName(known.select("issue_id", F.lit("commented").alias("action"), F.expr("last_seen div 1000000 + 99").alias("created_at")))
+    at = F.expr("last_seen div 1000000")
+    changes = F.array(
+        F.when(F.expr("status = 'resolved' and issue_id % 3 <> 0"), F.struct(F.lit("status_changed").alias("action"), F.lit("resolved").alias("new_value"), at.alias("created_at"))),
+        F.struct(F.lit("status_changed").alias("action"), F.lit("ignored").alias("new_value"), (at + 50).alias("created_at")),
+        F.struct(F.lit("commented").alias("action"), F.lit(None).cast("string").alias("new_value"), (at + 99).alias("created_at")),
+    )
+    return known.select("issue_id", F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c")).select("issue_id", "c.*")
 
 
 def _classified(spark, d):
@@ -212,26 +216,26 @@ def snapshot(spark, d):
     return _classified(spark, d)[1].select("group_hash", "environment", "issue_id", "status", "resolved_at", "state")
 
 
-@query("i_exc", f"""select s.group_hash, 'exception' as type, s.environment, case when s.status is null or s.state = 'reopen' then 'open' else s.status end as status, coalesce(k.occurrences, 0) + s.occurrences as occurrences, s.users_count, coalesce(k.first_seen, s.first_seen) as first_seen, greatest(k.last_seen, s.last_seen) as last_seen
+@query("i_exc", f"""select s.group_hash, 'exception' as type, s.environment, case when s.status is null or s.state = 'reopen' then 'open' else s.status end as status, coalesce(k.occurrences, 0) + s.occurrences as occurrences, s.users_count, coalesce(k.first_seen, s.first_seen) as first_seen, greatest(k.last_seen, s.last_seen) as last_seen, coalesce(k.class, s.class) as class, s.message
 from {_SNAP} s left join {_KNOWN_D} k using (issue_id)""")
 def exception_issues(spark, d):
     return issues.upsert(*_classified(spark, d))
 
 
-@query("i_act", f"select group_hash, 'exception' as type, environment, 'reopened' as action, cast({NOW // 1_000_000} as bigint) as created_at from {_SNAP} s where state = 'reopen'")
+@query("i_act", f"select group_hash, 'exception' as type, environment, 'agent' as actor_type, 'status_changed' as action, 'resolved' as old_value, 'open' as new_value, cast({NOW // 1_000_000} as bigint) as created_at from {_SNAP} s where state = 'reopen'")
 def reopen_activity(spark, d):
     known, c = _classified(spark, d)
-    return issues.reopened_activity(issues.upsert(known, c), c, NOW // 1_000_000).withColumn("created_at", F.col("created_at").cast("long"))
+    return issues.reopened_activity(issues.upsert(known, c), c, NOW // 1_000_000)
 
 
-@query("i_queue", f"select group_hash, environment, class, message from {_SNAP} s where state = 'new'")
+@query("i_queue", f"select group_hash, environment, class, message, 'open' as issue_status, occurrences as issue_occurrences, first_seen as issue_first_seen from {_SNAP} s where state = 'new'")
 def queued_alerts(spark, d):
+    """Groups that are neither known nor reopened, with what the stored issue says after the upsert."""
     known, c = _classified(spark, d)
-    fresh = c.join(known, ["group_hash", "type", "environment"], "left_anti").where("state <> 'reopen'")
-    return fresh.select("group_hash", "environment", "class", "message")
+    return issues.fresh_alerts(c, issues.upsert(known, c)).select("group_hash", "environment", "class", "message", "issue_status", "issue_occurrences", "issue_first_seen")
 
 
-@query("j_scal", f"select issue_id, max(created_at) as resolved_at from {_ACTIVITY_D} a where action = 'resolved' group by 1")
+@query("j_scal", f"select issue_id, max(created_at) as resolved_at from {_ACTIVITY_D} a where new_value = 'resolved' group by 1")
 def resolved(spark, d):
     return issues.resolved_at(activity(known_issues(spark, d)))
 
@@ -276,8 +280,40 @@ def _over_sql(family):
 
 for _family in _FAMILIES:
     QUERIES[f"i_thr_{_family}"] = (partial(over_threshold, family=_family), _over_sql(_family))
-QUERIES["a_perf"] = (partial(over_threshold, family="route"), _over_sql("route"))
-QUERIES["f_thr"] = QUERIES["i_thr_query"]
+
+
+@query("f_thr", f"select id, cast(case when connection = 'O' then 40000 else 45000 end as double) as threshold_us from {S('queries')} r where duration >= case when connection = 'O' then 40000 else 45000 end")
+def beyond_threshold(spark, d):
+    """Records at or above their own threshold: the exact target's or the kind's."""
+    rows = records(spark, d, "queries").withColumn("target", F.col("connection"))
+    return issues.threshold_of(rows, _thresholds(spark, "query"), "query").where("duration >= threshold_us").select("id", "threshold_us")
+
+
+@query("a_perf", f"select route_path as name, max(duration) as max_us, cast(round(max(duration) / 1000.0) as bigint) as triggered_ms, count(*) as over from {S('requests')} r where duration >= case when route_path = '/error' then 300 else 200 end group by 1")
+def over_by_name(spark, d):
+    timed = issues.threshold_of(records(spark, d, "requests").withColumn("target", F.col("route_path")), _thresholds(spark, "route"), "route")
+    over = timed.where("duration >= threshold_us").groupBy(F.col("target").alias("name"))
+    return over.agg(F.max("duration").alias("max_us"), scalars.millis(F.max("duration")).alias("triggered_ms"), F.count("*").alias("over"))
+
+
+_PERF = f"(select * from ({_over_sql('mail')}) x)"
+
+
+@query("i_perf", f"""with g as (select * from {_PERF} g), k as (select group_hash, environment, case occurrences % 3 when 0 then 'open' when 1 then 'resolved' else 'ignored' end as status, occurrences % 50 as occurrences, users_count + 3 as users_count, cast(100 as bigint) as first_seen, cast(200 as bigint) as last_seen,
+ cast(7 as bigint) as threshold_ms, cast(triggered_us // 1000 + (occurrences % 2) * 2 - 1 as bigint) as triggered_ms from g where md5(group_hash || environment) < '9')
+select group_hash, 'performance' as type, environment, case when k.status is null or k.status = 'resolved' then 'open' else k.status end as status, coalesce(k.occurrences, 0) + g.occurrences as occurrences, greatest(k.users_count, g.users_count) as users_count, coalesce(k.first_seen, g.first_seen) as first_seen, greatest(k.last_seen, g.last_seen) as last_seen,
+ case when group_hash < '8' then coalesce(k.threshold_ms, null) else cast(round(g.threshold_us / 1000.0) as bigint) end as threshold_ms, greatest(coalesce(k.triggered_ms, 0), cast(round(g.triggered_us / 1000.0) as bigint)) as triggered_ms
+from g left join k using (group_hash, environment)""")
+def performance_issues(spark, d):
+    """Performance issues after a batch; some groups bring no threshold and keep the stored one."""
+    groups = over_threshold(spark, d, "mail").withColumn("type", F.lit("performance")).withColumn("triggered_ms", scalars.millis(F.col("triggered_us")))
+    groups = groups.withColumn("threshold_ms", F.when(F.col("group_hash") >= "8", scalars.millis(F.col("threshold_us"))))
+    known = groups.where(F.md5(F.concat("group_hash", "environment").cast("binary")) < "9").select(
+        _issue_id("group_hash", "environment"), "group_hash", "type", "environment", F.expr("case occurrences % 3 when 0 then 'open' when 1 then 'resolved' else 'ignored' end as status"), (F.col("occurrences") % 50).alias("occurrences"), (F.col("users_count") + 3).alias("users_count"),
+        F.lit(100).cast("long").alias("first_seen"), F.lit(200).cast("long").alias("last_seen"), F.lit(7).cast("long").alias("threshold_ms"), F.expr("triggered_us div 1000 + (occurrences % 2) * 2 - 1").alias("triggered_ms"),
+    )
+    none = activity(known).where("false")
+    return issues.upsert_performance(known, issues.classify(groups, known, none, NOW // 1_000_000, _COOL))
 
 # --- joins, sets and storage ---------------------------------------------------
 
@@ -357,9 +393,19 @@ _CK = r"regexp_replace(key, '(^|:)[0-9]+(:|$)', '\1{int}\2', 'g')"
 _CKQ = f"(select {_CK} as key, coalesce(store, '') as store, date_trunc('hour', created_at) as bucket_start, coalesce(environment, '') as environment, count(*) as call_count, count(*) filter (where event_type = 'hit') as hits, cast(coalesce(sum(duration), 0) as bigint) as total_duration from {S('cache_events')} r group by all)"
 
 
-@query("s_ck", f"select key as raw, {_CK} as key from (select distinct key from {S('cache_events')} r)")
+_KEYS = (
+    ("'user:' || user_id || ':x'", "'user:{int}:x'"), ("'mail:a' || user_id || '@h.example.com'", "'mail:{email}'"), ("'day:2024-01-' || lpad(cast(user_id % 28 + 1 as string), 2, '0')", "'day:{date}'"), ("'at:2024-01-02T03:04:' || lpad(cast(user_id % 60 as string), 2, '0') || 'Z'", "'at:{datetime}'"),
+    ("'u:' || substr(md5(event_type), 1, 8) || '-' || substr(md5(event_type), 9, 4) || '-4000-8000-' || substr(md5(event_type), 13, 12)", "'u:{uuid}'"), ("'id:01HV9AJ0T4Q2S8B3ZDGKM5NPX' || substr('ABCDEFGH', cast(user_id % 8 + 1 as int), 1)", "'id:{ulid}'"), ("'h:' || md5(event_type)", "'h:{hex}'"),
+    ("'s:KywllO9sT7khredx3bfte0iFL35hakXGTcnK4Oi' || substr('ABCDEFGH', cast(user_id % 8 + 1 as int), 1)", "'s:{session}'"), ("'plain:' || event_type", "'plain:' || event_type"),
+)
+
+
+@query("s_ck", "select event_id, case event_id % 9 " + " ".join(f"when {k} then {t}" for k, (_, t) in enumerate(_KEYS)) + " end as key from events")
 def templates(spark, d):
-    return records(spark, d, "cache_events").select("key").distinct().select(F.col("key").alias("raw"), cachekey.template(F.col("key")).alias("key"))
+    """Cache keys of every sort of volatile part, templated."""
+    made = "case event_id % 9 " + " ".join(f"when {k} then {x}" for k, (x, _) in enumerate(_KEYS)) + " end"
+    keys = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", made.replace("md5(event_type)", "md5(cast(event_type as binary))") + " as raw")
+    return keys.select("event_id", cachekey.template(F.col("raw")).alias("key"))
 
 
 @query("m_ckr", f"select * from {_CKQ} q")
@@ -388,10 +434,10 @@ def swapped(spark, d):
     return storage.merge_signed(base, delta, ["key", "store"], ["n"])
 
 
-@query("j_anti", "select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_shipdate < timestamp '1994-01-01') and p_size < 20")
+@query("j_anti", "select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_shipdate < timestamp '1994-01-01')")
 def unreferenced(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_shipdate < timestamp_ntz'1994-01-01 00:00:00'").select(F.col("l_partkey").alias("p_partkey"))
-    return spark.read.parquet(f"{d}/part.parquet").where("p_size < 20").join(lines, "p_partkey", "left_anti").select("p_partkey")
+    return spark.read.parquet(f"{d}/part.parquet").join(lines, "p_partkey", "left_anti").select("p_partkey")
 
 
 @query("j_anti2", f"select distinct l.user_id from {S('requests')} l left join {S('exceptions')} r on l.user_id = r.user_id where r.user_id is null and l.user_id is not null")
@@ -424,26 +470,16 @@ def scalar_distinct(spark, d):
     return records(spark, d, "jobs").where("status = 'failed'").join(u, "user_id", "left").select("id", "n")
 
 
-@query("j_drift", "select cast(null as varchar) as group_hash, cast(null as bigint) as call_count, cast(null as varchar) as side where false")
-def drift(spark, d):
-    """A merged rollup and a fresh aggregation have no row apart."""
-    spec = rollups.SPECS["req"]
-    rows = records(spark, d, "requests")
-    cols = ["group_hash", "call_count"]
-    hour = rollups.to_tier(rollups.aggregate(rows, spec), spec, "hour")
-    return storage.drift(hour.select(*cols), rollups.aggregate(rows, spec, "hour").select(*cols))
-
-
 @query("u_all", f"select id, created_at from {S('mail')} m union all select id, created_at from {S('logs')} l")
 def union_all(spark, d):
     return records(spark, d, "mail").select("id", "created_at").unionByName(records(spark, d, "logs").select("id", "created_at"))
 
 
-@query("u_diff", f"with a as (select environment, list(distinct event_type) as x from {S('cache_events')} r where id % 2 = 0 group by 1), b as (select environment, list(distinct event_type) as y from {S('cache_events')} r where id % 5 = 0 and event_type <> 'hit' group by 1) select environment, array_to_string(list_sort(list_filter(x, lambda v: not list_contains(y, v))), ',') as only_a, array_to_string(list_sort(list_intersect(x, y)), ',') as both from a join b on a.environment is not distinct from b.environment".replace("select environment, array_to_string", "select a.environment, array_to_string"))
+@query("u_diff", f"with a as (select environment, list(distinct event_type) as x from {S('cache_events')} r where environment is null or environment <> 'staging' group by 1), b as (select environment, list(distinct event_type) as y from {S('cache_events')} r where store is not null and event_type <> 'hit' group by 1) select environment, array_to_string(list_sort(list_filter(x, lambda v: not list_contains(y, v))), ',') as only_a, array_to_string(list_sort(list_intersect(x, y)), ',') as both from a join b on a.environment is not distinct from b.environment".replace("select environment, array_to_string", "select a.environment, array_to_string"))
 def set_difference(spark, d):
     rows = records(spark, d, "cache_events")
-    a = rows.where("id % 2 = 0").groupBy("environment").agg(F.collect_set("event_type").alias("x"))
-    b = rows.where("id % 5 = 0 and event_type <> 'hit'").groupBy(F.col("environment").alias("e")).agg(F.collect_set("event_type").alias("y"))
+    a = rows.where("environment is null or environment <> 'staging'").groupBy("environment").agg(F.collect_set("event_type").alias("x"))
+    b = rows.where("store is not null and event_type <> 'hit'").groupBy(F.col("environment").alias("e")).agg(F.collect_set("event_type").alias("y"))
     return a.join(b, F.col("environment").eqNullSafe(F.col("e"))).select("environment", F.array_join(F.array_sort(F.array_except("x", "y")), ",").alias("only_a"), F.array_join(F.array_sort(F.array_intersect("x", "y")), ",").alias("both"))
 
 
@@ -691,16 +727,14 @@ def channels(spark, d):
     return daily.groupBy("group_hash").agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
 
 
-def best_tier(seconds: int, aligned_to: int) -> str:
-    """The coarsest tier whose buckets tile a window of that length and alignment."""
-    return next((t for t, s in (("day", 86_400), ("hour", 3600)) if seconds >= s and seconds % s == 0 and aligned_to % s == 0), "minute")
-
-
 @query("q_wide", f"select group_hash, count(*) as call_count from {S('requests')} r where created_at >= timestamp '2024-01-03 00:00:00' and created_at < timestamp '2024-01-10 00:00:00' group by 1")
 def tier_routed(spark, d):
-    spec, tier = rollups.SPECS["req"], best_tier(7 * 86_400, 1_704_240_000)
-    rolled = rollups.to_tier(rollups.aggregate(records(spark, d, "requests"), spec), spec, tier)
-    return rolled.where("bucket_start >= timestamp_ntz'2024-01-03 00:00:00' and bucket_start < timestamp_ntz'2024-01-10 00:00:00'").groupBy("group_hash").agg(F.sum("call_count").alias("call_count"))
+    """A window of whole days is read from the daily tier, as that is stored and spans it."""
+    spec = rollups.SPECS["req"]
+    minute = rollups.aggregate(records(spark, d, "requests"), spec)
+    stored = {"minute": minute, "day": rollups.to_tier(minute, spec, "day")}
+    window = rollups.read_window(records(spark, d, "requests"), stored, spec, dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 10))
+    return window.groupBy("group_hash").agg(F.sum("call_count").alias("call_count"))
 
 
 @query("q_cover", "select min(date_trunc('minute', ts)) <= timestamp '2024-01-05 00:00:00' and max(date_trunc('minute', ts)) >= timestamp '2024-01-20 00:00:00' as covered from events")
@@ -718,46 +752,230 @@ def hit_ratio(spark, d):
 
 # --- wire frames -----------------------------------------------------------------
 
-
-def _wire(spark, d) -> DataFrame:
-    """Every event as a frame of one request record; some are pings, some broken."""
-    e = spark.read.parquet(f"{d}/events.parquet")
-    rec = F.to_json(F.array(F.struct(F.lit("request").alias("t"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"), F.md5(F.col("event_type").cast("binary")).alias("_group"), F.col("user_id").cast("string").alias("user"), F.floor(F.col("value") * 1000).cast("long").alias("duration"))))
-    body = F.when(F.col("event_id") % 50 == 0, "PING").when(F.col("event_id") % 51 == 0, "{broken").otherwise(rec)
-    token = F.when(F.col("event_id") % 20 == 7, "other").otherwise("abc1234")
-    return e.select(F.concat(F.octet_length(body).cast("string"), F.lit(":v1:"), token, F.lit(":"), body).cast("binary").alias("raw"), "event_id")
+#: For each wire type: more JSON fields as an expression of Spark, the stored kind, and the stored fields as an expression of the oracle.
+_USER_OR = "case when user_id % 5 = 0 then '~' else cast(user_id as varchar) end"
+_DUR = "cast(floor(value * 1000) as bigint)"
+_TYPED = {
+    "request": ("case when event_type = 'error' then ',\"status_code\":\"503.0\"' else '' end", "requests", f"md5(event_type) || '|' || {_USER_OR} || '|GET|/|' || case when event_type = 'error' then '503' else '200' end || '|' || {_DUR} || '|[]|~'"),
+    "query": ("',\"sql\":\"select 1\",\"connection\":\"pg\",\"file\":\"a.php\",\"line\":7'", "queries", f"md5(event_type) || '|' || {_USER_OR} || '|~|select 1|pg|' || {_DUR} || '|a.php|7'"),
+    "exception": ("',\"message\":\"boom\",\"code\":42,\"file\":\"f\"' || case when event_id % 2 = 0 then ',\"class\":\"E\",\"handled\":true' else '' end", "exceptions", f"{_USER_OR} || '|~|' || case when event_id % 2 = 0 then 'E' else 'Unknown' end || '|boom|' || case when event_id % 2 = 0 then 'true' else 'false' end || '|42|f|~|' || md5(event_type)"),
+    "command": ("',\"name\":\"migrate\",\"exit_code\":' || cast(event_id % 3 as string)", "commands", f"md5(event_type) || '|' || {_USER_OR} || '|migrate|' || (event_id % 3) || '|' || {_DUR}"),
+    "queued-job": ("',\"job_class\":\"JobX\",\"queue\":\"q\"'", "jobs", f"md5(event_type) || '|' || {_USER_OR} || '|~|~|JobX|q|1|' || {_DUR}"),
+    "job-attempt": ("',\"name\":\"JobY\",\"job_class\":\"x\",\"queue\":\"q\",\"attempt_id\":\"a\",\"attempts\":\"3\",\"status\":\"released\"'", "jobs", f"md5(event_type) || '|' || {_USER_OR} || '|a|released|JobY|q|3|' || {_DUR}"),
+    "cache-event": ("',\"type\":\"' || case user_id % 3 when 0 then 'set_fail' when 1 then 'delete_fail' else 'hit' end || '\",\"key\":\"user:' || cast(user_id as string) || ':x\",\"store\":\"redis\",\"ttl\":60'", "cache_events", f"{_USER_OR} || '|' || case user_id % 3 when 0 then 'set_fail' when 1 then 'delete_fail' else 'hit' end || '|user:' || user_id || ':x|user:{{int}}:x|redis|60|' || {_DUR}"),
+    "mail": ("',\"mailable\":\"M1\",\"queued\":\"true\",\"failed\":0'", "mail", f"md5(event_type) || '|' || {_USER_OR} || '|M1|true|false|' || {_DUR}"),
+    "notification": ("',\"notification\":\"N1\",\"channel\":\"mail\",\"queued\":false'", "notifications", f"md5(event_type) || '|' || {_USER_OR} || '|N1|mail|false|~|' || {_DUR}"),
+    "outgoing-request": ("',\"url\":\"https://h/x\",\"method\":\"POST\",\"status_code\":204'", "outgoing", f"md5(event_type) || '|' || {_USER_OR} || '|POST|https://h/x|204|' || {_DUR}"),
+    "scheduled-task": ("',\"command\":\"c1\",\"expression\":\"* * * * *\",\"status\":\"failed\",\"exit_code\":1'", "scheduled", f"md5(event_type) || '|c1|* * * * *|0|failed|1|' || {_DUR}"),
+    "log": ("',\"message\":\"m\",\"context\":\"{{}}\",\"channel\":\"app\"'".replace("{{}}", "{}"), "logs", f"{_USER_OR} || '|info|m|~|app'"),
+    "user": ("',\"id\":\"u' || cast(user_id as string) || '\",\"name\":\"n\",\"username\":\"e@x\"'", "users", "'u' || user_id || '|n|e@x'"),
+}
+_T_OF = "case event_id % 13 " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(_TYPED)) + " end"
+#: What is wrong with a frame, if anything; of each sort some.
+_FAULT = "case when event_id % 50 = 0 then 'ping' when event_id % 51 = 0 then 'json' when event_id % 53 = 0 then 'version' when event_id % 59 = 0 then 'utf8' when event_id % 61 = 0 then 'garbage' when event_id % 67 = 0 then 'behind' when event_id % 71 = 0 then 'token' when event_id % 73 = 0 then 'number' when event_id % 79 = 0 then 'header' else '' end"
+_KIND = f"case {_FAULT} when 'ping' then 'ping' when 'version' then 'error' when 'json' then null when 'utf8' then null when 'garbage' then null when 'header' then null else 'records' end"
 
 
-@query("src_parse", "select case when event_id % 50 = 0 then 'ping' when event_id % 51 = 0 then 'error' else 'records' end as kind, count(*) as n from events group by 1")
+def _wire(spark, d) -> DataFrame:
+    """Every event as a frame of one record of the 13 types; some are pings, some broken."""
+    extra = "case event_id % 13 " + " ".join(f"when {k} then {x}" for k, (x, _, _) in enumerate(_TYPED.values())) + " end"
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("*", f"{_T_OF} as t", f"{_FAULT} as fault", f"{extra} as extra", "md5(cast(event_type as binary)) as g", "cast(unix_timestamp(cast(ts as timestamp)) as string) as at", "cast(cast(floor(value * 1000) as bigint) as string) as us")
+    user = "case when user_id % 5 = 0 then '' else concat(',\"user\":\"', cast(user_id as string), '\"') end"
+    duration = "case when fault = 'number' then '\"fast\"' when event_id % 2 = 0 then concat('\"', us, '.5\"') else us end"
+    e = e.select("event_id", "t", "at", "g", "us", "user_id", F.explode(F.array("fault")).alias("fault"), "extra")
+    body = F.expr(f"""concat('[{{"t":"', t, '","timestamp":"', at, '","_group":"', g, '","trace_id":"', cast(event_id as string), '","duration":', {duration}, {user}, extra, '}}]')""")
+    text = F.when(F.col("fault") == "ping", "PING").when(F.col("fault") == "json", "{broken").when(F.col("fault") == "garbage", F.concat(body, F.lit("XX"))).otherwise(body).cast("binary")
+    payload = F.when(F.col("fault") == "utf8", F.concat(F.expr("cast(concat('[{\"t\":\"log\",\"message\":\"') as binary)"), F.unhex(F.lit("FF")), F.lit('"}]').cast("binary"))).otherwise(text)
+    token = F.when(F.col("fault") == "token", F.repeat(F.lit("long"), 40)).when(F.col("event_id") % 20 == 7, "other").otherwise("abc1234")
+    content = F.concat(F.when(F.col("fault") == "version", "v2:").otherwise("v1:").cast("binary"), token.cast("binary"), F.lit(":").cast("binary"), payload)
+    frame = F.concat(F.octet_length(content).cast("string").cast("binary"), F.lit(":").cast("binary"), content, F.when(F.col("fault") == "behind", "tail]").otherwise("").cast("binary"))
+    raw = F.when(F.col("fault") == "header", F.lit("no frame").cast("binary")).otherwise(frame)
+    return e.select(F.explode(F.array(raw)).alias("raw"), "event_id")  # a frame is made once
+
+
+@query("src_parse", f"select {_KIND} as kind, count(*) as n from events group by 1")
 def parsed(spark, d):
     return frames.parse(_wire(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("src_auth", "select count(*) as n from events where event_id % 20 <> 7 or event_id % 50 = 0")
+@query("src_auth", f"select count(*) as n from events where {_FAULT} = 'ping' or (event_id % 20 <> 7 and {_FAULT} not in ('token', 'header'))")
 def authorised(spark, d):
     return frames.authorised(frames.parse(_wire(spark, d)), "abc1234").agg(F.count("*").alias("n"))
 
 
-@query("src_frame", "select count(*) as complete from events")
+@query("src_frame", f"select count(*) filter (where {_FAULT} <> 'header') as complete, count(*) filter (where {_FAULT} <> 'header' and false) as cut from events")
 def complete(spark, d):
-    return _wire(spark, d).agg(F.count_if(frames.complete(F.col("raw"))).alias("complete"))
+    """Whole frames are complete, and none of them without its last byte, unless bytes follow the frame."""
+    w = _wire(spark, d)
+    cut = F.expr("substring(raw, 1, octet_length(raw) - 6)")
+    return w.agg(F.count_if(frames.complete(F.col("raw"))).alias("complete"), F.count_if(frames.complete(cut)).alias("cut"))
 
 
-@query("a_types", "select 'request' as t, count(*) as n from events where event_id % 50 <> 0 and event_id % 51 <> 0")
+_SOUND = f"{_FAULT} in ('', 'behind', 'token')"
+
+
+@query("a_types", f"select {_T_OF} as t, count(*) as n from events where {_SOUND} group by 1")
 def types(spark, d):
     return frames.type_counts(frames.parse(_wire(spark, d)))
 
 
-@query("snk_dlq", "select count(*) as dead from events where event_id % 50 <> 0 and event_id % 51 = 0")
+@query("snk_dlq", f"select count(*) filter (where {_KIND} is null or {_KIND} = 'error') as dead, count(*) filter (where {_FAULT} = 'number') as rejected from events")
 def dead(spark, d):
-    return frames.dead_letters(frames.parse(_wire(spark, d))).agg(F.count("*").alias("dead"))
+    """Frames without records, whatever their token, and records whose numbers are none."""
+    p = frames.parse(_wire(spark, d))
+    a, b = frames.dead_letters(p).agg(F.count("*").alias("dead")), frames.rejected(p).agg(F.count("*").alias("rejected"))
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").select("dead", "rejected")
 
 
-@query("p_def", "select md5(event_type) as group_hash, count(*) as call_count, count(*) as success_count from events where event_id % 50 <> 0 and event_id % 51 <> 0 group by 1")
+@query("p_def", f"select md5(event_type) as group_hash, count(*) as call_count, count(*) filter (where event_type <> 'error') as success_count, count(*) filter (where event_type = 'error') as server_error_count from events where {_SOUND} and event_id % 13 = 0 group by 1")
 def wire_rollup(spark, d):
-    """Frames to records to normalised requests to a rollup: missing fields get defaults."""
+    """Frames to records to normalised requests to a rollup: missing fields get defaults, numbers may be text."""
     rows = frames.normalise(frames.records(frames.parse(_wire(spark, d))), "requests", "production", NOW // 1_000_000)
-    return rollups.aggregate(rows, rollups.SPECS["req"], "day").groupBy("group_hash").agg(F.sum("call_count").alias("call_count"), F.sum("success_count").alias("success_count"))
+    return rollups.aggregate(rows, rollups.SPECS["req"], "day").groupBy("group_hash").agg(*[F.sum(c).alias(c) for c in ("call_count", "success_count", "server_error_count")])
+
+
+_COMMON = ("created_at", "ts_us", "environment", "server", "trace_id")
+
+
+@query("p_route", "select event_id as id, kind, epoch_us(ts) // 1000000 * 1000000 as ts_us, stored from (" + " union all ".join(f"select event_id, ts, '{kind}' as kind, {out} as stored from events where {_SOUND} and event_id % 13 = {k}" for k, (_, kind, out) in enumerate(_TYPED.values())) + ") x")
+def routed(spark, d):
+    """Every record of the 13 types, as its kind's writer stores it."""
+    rows, out = frames.records(frames.parse(_wire(spark, d))), None
+    for kind in dict.fromkeys(k for _, k, _ in _TYPED.values()):
+        n = frames.normalise(rows, kind, "production", NOW // 1_000_000)
+        own = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in n.columns if c not in _COMMON]
+        part = n.select(F.col("trace_id").cast("long").alias("id"), F.lit(kind).alias("kind"), "ts_us", F.concat_ws("|", *own).alias("stored"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("a_cache_fail", f"select 'user:{{int}}:x' as key, count(*) as call_count, count(*) filter (where user_id % 3 = 2) as hits, count(*) filter (where user_id % 3 = 1) as delete_failures, count(*) filter (where user_id % 3 = 0) as write_failures from events where {_SOUND} and event_id % 13 = 6 group by 1")
+def cache_failures(spark, d):
+    """Failed writes and deletes of the cache, from the wire to the rollup."""
+    rows = frames.normalise(frames.records(frames.parse(_wire(spark, d))), "cache_events", None, NOW // 1_000_000)
+    return rollups.aggregate(rows, rollups.SPECS["cache"], "day").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("call_count", "hits", "delete_failures", "write_failures")])
+
+
+@query("a_vit", f"select day, requests, server_errors, exceptions, cast(sum(requests) over w as bigint) as requests_total, cast(sum(server_errors) over w as bigint) as server_errors_total, cast(sum(exceptions) over w as bigint) as exceptions_total from (select cast(ts as date) as day, count(*) as requests, count(*) filter (where event_type = 'error') as server_errors, count(*) filter (where event_type = 'error') as exceptions from events group by 1) x window w as (order by day)")
+def vitals(spark, d):
+    """Requests, server errors and exceptions of each day's batch, and their totals so far."""
+    r = records(spark, d, "requests").groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 500).alias("server_errors"))
+    x = records(spark, d, "exceptions").groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("exceptions"))
+    cols = ("requests", "server_errors", "exceptions")
+    day = r.join(x, "day", "full_outer").select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in cols])
+    so_far = Window.orderBy("day")  # one row a batch
+    return day.select("*", *[F.sum(c).over(so_far).alias(f"{c}_total") for c in cols])
+
+
+# --- retention, tiers, host metrics and reports -------------------------------------
+
+
+@query("d_retain_tiers", " union all ".join(f"select '{k}' as kind, count(*) as kept from {S('jobs')} r where date_trunc('{t}', created_at) >= timestamp '1998-08-01 00:00:00' - interval {n} day" for k, t, n in (("minute", "minute", 90), ("hour", "hour", 366), ("day", "day", 1100))) + f" union all select 'raw', count(*) from {S('jobs')} r where created_at >= timestamp '1998-08-01 00:00:00' - interval 14 day union all select 'raw hours', count(*) from {S('jobs')} r where created_at >= timestamp '1998-08-01 00:00:00' - interval 36 hour")
+def retention(spark, d):
+    """Raw rows and rollups of each tier that their retention windows keep."""
+    rows, now = records(spark, d, "jobs"), "1998-08-01 00:00:00"
+    spec = rollups.SPECS["job"]
+    parts = [storage.kept(rollups.aggregate(rows, spec, t), now, t).agg(F.coalesce(F.sum("call_count"), F.lit(0)).alias("kept")).select(F.lit(t).alias("kind"), "kept") for t in rollups.TIERS]
+    parts += [storage.kept(rows, now, "raw", h).agg(F.count("*").alias("kept")).select(F.lit(k).alias("kind"), "kept") for k, h in (("raw", None), ("raw hours", 36))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).unionAll(parts[4])
+
+
+@query("q_cover_raw", f"select group_hash, count(*) as call_count from {S('requests')} r where created_at >= timestamp '2024-01-05 00:00:00' and created_at < timestamp '2024-01-25 00:00:00' group by 1")
+def gated(spark, d):
+    """A window that the stored rollup does not span is read from raw rows."""
+    spec, rows = rollups.SPECS["req"], records(spark, d, "requests")
+    stored = rollups.aggregate(rows.where("created_at < timestamp_ntz'2024-01-20 00:00:00'"), spec, "hour")
+    window = rollups.read_window(rows, {"hour": stored}, spec, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25))
+    return window.groupBy("group_hash").agg(F.sum("call_count").alias("call_count"))
+
+
+@query("snk_v2", f"select id, created_at, group_hash, route_path, url, status_code, coalesce(trace_id, cast(id as varchar)) as trace_id from {S('requests')} r")
+def second_family(spark, d):
+    """Requests written in the second family's types and decoded again."""
+    rows = records(spark, d, "requests").select("id", "created_at", "group_hash", "route_path", "url", "status_code", "trace_id", F.col("id").cast("string").alias("execution_id"))
+    entries = storage.dictionary(storage.collect_values(rows, "requests"))
+    return storage.from_v2(storage.to_v2(rows, "requests", entries), "requests", entries).select("id", "created_at", "group_hash", "route_path", "url", "status_code", "trace_id")
+
+
+@query("m_plan", "select n_name as \"table\", case n_nationkey % 3 when 0 then 'minute' when 1 then 'hour' else 'day' end as tier, case when n_nationkey % 5 = 0 then 'rebuild' when n_nationkey % 4 in (0, 1) then 'backfill' when n_nationkey % 4 = 2 then 'extend' end as action, case when n_nationkey % 5 = 0 then cast(n_nationkey * 60 as bigint) end as since from nation where n_nationkey % 5 = 0 or n_nationkey % 4 <> 3")
+def planned(spark, d):
+    tables = spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_name as table", "case n_nationkey % 3 when 0 then 'minute' when 1 then 'hour' else 'day' end as tier", "case n_nationkey % 4 when 0 then 'empty' when 1 then 'head' when 2 then 'tail' end as reason", "cast(case when n_nationkey % 5 = 0 then n_nationkey * 60 end as bigint) as floor")
+    return storage.repair_plan(tables, 10_000)
+
+
+@query("o_worst", "select s_suppkey as worker, s_suppkey * 37 % 101 as stale_s, 'write' as phase from supplier where s_suppkey * 37 % 101 > 0 order by stale_s desc, worker limit 1")
+def worst(spark, d):
+    return health.worst_wedge(spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as worker", "s_suppkey * 37 % 101 as stale_s", "'write' as phase"))
+
+
+@query("src_proc", """with c as (select user_id % 4 as host, event_id as tick, sum(cast(value as bigint) + 1) over w as total, sum(cast(value as bigint) % 7) over w as idle from events window w as (partition by user_id % 4 order by event_id)),
+x as (select host, tick, total - lag(total) over w as t, idle - lag(idle) over w as i from c window w as (partition by host order by tick))
+select host, tick, case when t > 0 then round((1 - i / cast(t as double)) * 100, 1) when t is not null then 0.0 end as usage_pct from x""".replace("cast(value as bigint)", "cast(floor(value) as bigint)"))
+def processor(spark, d):
+    w = Window.partitionBy("host").orderBy("tick")
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 4 as host", "event_id as tick", "cast(floor(value) as bigint) as v")
+    samples = e.select("host", "tick", F.sum(F.col("v") + 1).over(w).alias("total"), F.sum(F.col("v") % 7).over(w).alias("idle"))
+    return health.cpu_usage(samples, ["host"], "tick").select("host", "tick", "usage_pct")
+
+
+@query("s_unit", "select l_orderkey, l_linenumber, cast(round(l_extendedprice / 1000.0) as bigint) as ms, round(l_extendedprice * 100000 / 60000000.0, 9) as busy from lineitem".replace("l_extendedprice", "cast(floor(l_extendedprice) as bigint)"))
+def units(spark, d):
+    us = F.floor("l_extendedprice").cast("long")
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", scalars.millis(us).alias("ms"), F.round(scalars.busy_workers(us * 100000), 9).alias("busy"))
+
+
+_BYTES = "(select o_orderkey, cast(floor(o_totalprice) as bigint) * (case o_orderkey % 3 when 0 then 1 when 1 then 100 else 50000 end) as n, cast(floor(o_totalprice) as bigint) as sec from orders)"
+
+
+@query("s_fmt", f"select o_orderkey, case when n < 1048576 then regexp_replace(cast(round(n / 1024.0::double, 1) as varchar), '[.]0$', '') || ' KB' when n < 1073741824 then regexp_replace(cast(round(n / 1048576.0::double, 1) as varchar), '[.]0$', '') || ' MB' else regexp_replace(cast(round(n / 1073741824.0::double, 1) as varchar), '[.]0$', '') || ' GB' end as size, case when sec >= 172800 then (sec // 86400) || ' days' when sec >= 7200 then (sec // 3600) || ' hours' else greatest(sec // 60, 1) || ' minutes' end as age, printf('Avg concurrency held at ≥90%% of 4 workers for 2 consecutive minutes (worst minute: %.1f busy)', sec * 1000 / 60000000.0::double) as message from {_BYTES} b")
+def formatted(spark, d):
+    n, sec = F.col("n"), F.col("sec")
+    rows = spark.sql("select * from " + _BYTES.replace("from orders", "from {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    return rows.select("o_orderkey", scalars.human_bytes(n).alias("size"), scalars.human_seconds(sec).alias("age"), scalars.saturation_message(90, 4, 2, sec * 1000).alias("message"))
+
+
+@query("s_retries", "select o_orderkey, o_orderkey > 0 and bit_count(o_orderkey) = 1 as logged from orders")
+def logged_retries(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", scalars.is_power_of_two(F.col("o_orderkey")).alias("logged"))
+
+
+#: The fixed thresholds written out once more, apart from the rules, by boundary values: (metrics row, its codes).
+_CALM = {"now": 1000, "conn_fail_at": 0, "ok_at": 990, "error_at": 0, "worker_stale_s": 0, "drain_rate": 100, "ingest_rate": 100, "pending": 0, "max_pending": 100000, "quarantined_total": 0, "repair_debt": 0, "stale_rollups": 0, "pg_latency_ms": 10, "failed_batches": 0, "drained_rows": 9000, "loop_lag_ms": 1, "wal_mb": 1, "metrics_age_s": 1, "rss_share": 0.1, "reject_rate": 0.0, "cpu": 5, "memory": 5}
+BOUNDARIES = (
+    ({}, ""), ({"conn_fail_at": 995, "last_error": "x"}, "DRAIN_UNREACHABLE"), ({"now": 1039, "conn_fail_at": 995, "last_error": "x"}, "DRAIN_UNREACHABLE"), ({"now": 1040, "conn_fail_at": 995, "last_error": "x"}, ""), ({"worker_stale_s": 180}, ""), ({"worker_stale_s": 181}, "DRAIN_WEDGED"),
+    ({"error_at": 991}, "DRAIN_WRITE_FAILING"), ({"error_at": 990}, ""), ({"drain_rate": 0, "ingest_rate": 0, "pending": 101}, "DRAIN_STOPPED"), ({"drain_rate": 0, "ingest_rate": 0, "pending": 100}, ""), ({"quarantined_total": 1}, "DRAIN_QUARANTINE"), ({"repair_debt": 1}, "ROLLUP_REPAIR_PENDING"),
+    ({"stale_rollups": 1}, "ROLLUP_STALE"), ({"backfill_age_s": 21600}, "ROLLUP_BACKFILL_PENDING"), ({"backfill_age_s": 21601}, "ROLLUP_BACKFILL_PENDING"), ({"ingest_rate": 151, "pending": 5001}, "DRAIN_FALLING_BEHIND"), ({"ingest_rate": 150, "pending": 5001}, ""), ({"ingest_rate": 151, "pending": 5000}, ""),
+    ({"pending": 50000}, ""), ({"pending": 50001}, "BACKLOG_HIGH"), ({"pending": 80000}, "BACKLOG_HIGH"), ({"pending": 80001}, "BACKLOG_CRITICAL"), ({"back_pressure": True}, "BACK_PRESSURE_ACTIVE"), ({"pg_latency_ms": 500}, ""), ({"pg_latency_ms": 501}, "PG_LATENCY_HIGH"), ({"pg_latency_ms": 2000}, "PG_LATENCY_HIGH"),
+    ({"pg_latency_ms": 2001}, "PG_LATENCY_CRITICAL"), ({"failed_batches": 1}, ""), ({"failed_batches": 2}, "DRAIN_ERRORS"), ({"loop_lag_ms": 50}, ""), ({"loop_lag_ms": 51}, "LOOP_LAG_HIGH"), ({"loop_lag_ms": 201}, "LOOP_LAG_CRITICAL"), ({"wal_mb": 100}, ""), ({"wal_mb": 101}, "WAL_LARGE"), ({"metrics_age_s": 15}, ""),
+    ({"metrics_age_s": 16}, "DRAIN_METRICS_STALE"), ({"rss_share": 0.7}, ""), ({"rss_share": 0.71}, "MEMORY_HIGH"), ({"reject_rate": 0.02}, ""), ({"reject_rate": 0.03}, "REJECT_RATE_HIGH"), ({"reject_rate": 0.11}, "REJECT_RATE_CRITICAL"), ({"cpu": 70}, ""), ({"cpu": 71}, "CPU_HIGH"), ({"cpu": 91}, "CPU_SATURATION"),
+    ({"memory": 75}, ""), ({"memory": 76}, "SYSTEM_MEMORY_HIGH"), ({"memory": 91}, "SYSTEM_MEMORY_CRITICAL"),
+)
+
+
+def _boundary_sql():
+    rows = ", ".join(f"({k}, '{code}')" for k, (_, code) in enumerate(BOUNDARIES))
+    return f"select subject, code from (values {rows}) v(subject, code) where code <> ''"
+
+
+@query("h_boundaries", _boundary_sql())
+def boundaries(spark, d):
+    """Each health rule just below and just above its threshold."""
+    kinds = {"last_error": "string", "back_pressure": "boolean", "rss_share": "double", "reject_rate": "double"}
+    names = [m for m in health.METRICS]
+    rows = [(k, *[({**_CALM, **change}).get(m) for m in names]) for k, (change, _) in enumerate(BOUNDARIES)]
+    m = spark.createDataFrame(rows, "subject int, " + ", ".join(f"{m} {kinds.get(m, 'bigint')}" for m in names))
+    return health.diagnose(m, ["subject"]).select("subject", "code")
+
+
+@query("snk_health", f"select subject, case when score >= 80 then 'healthy' when score >= 40 then 'degraded' else 'critical' end as status, score as health_score, pending as pending_rows, codes from (select s.subject, s.score, m.pending, coalesce(x.codes, '') as codes from {_SCORES} s join {_METRICS} m using (subject) left join (select subject, array_to_string(list_sort(list(code)), ',') as codes from ({health.diagnose_sql(_METRICS, 'subject')}) y group by 1) x using (subject)) z")
+def health_report(spark, d):
+    """Fields read back from the JSON health documents."""
+    m = _metrics(spark, d)
+    found = health.diagnose(m, ["subject"])
+    documents = health.report(m, found, health.score(found, m, ["subject"]), ["subject"])
+    shape = "struct<status: string, health_score: bigint, buffer: struct<pending_rows: bigint>, diagnoses: array<struct<code: string>>>"
+    r = documents.select("subject", F.from_json("report", shape).alias("r"))
+    return r.select("subject", "r.status", "r.health_score", F.col("r.buffer.pending_rows").alias("pending_rows"), F.array_join(F.array_sort(F.col("r.diagnoses.code")), ",").alias("codes"))
 
 
 def build() -> dict:

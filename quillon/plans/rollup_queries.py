@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions import histogram, sketch
-from quillon.operators import rollups as R
+from quillon.operators import rollups as R, storage
 from quillon.sources.adapters import records, records_sql
 
 
@@ -37,19 +37,11 @@ def _sketch(spark, d, spec):
     return sketch.merge(daily, spec.key_columns())
 
 
-def _ranges(rollup: DataFrame, keys: list[str]) -> DataFrame:
-    return rollup.groupBy(*keys).agg(F.min("min_duration").alias("min_duration"), F.max("max_duration").alias("max_duration"))
-
-
 def p95_by_hour(spark, d):
-    """p95 of request durations for each group and hour, from merged sketches."""
-    spec = R.SPECS["req"]
+    """p95 of request durations for each group and hour, from sketches with ranges."""
     keys = ["group_hash", "bucket_start"]
-    rows = records(spark, d, "requests")
-    hourly = R.to_tier(R.aggregate(rows, spec), spec, "hour")
-    cells = sketch.merge(R.sketch_rows(rows, spec).withColumn("bucket_start", F.date_trunc("hour", "bucket_start").cast("timestamp_ntz")), keys)
-    out = sketch.percentile(cells.join(_ranges(hourly, keys), keys), keys, 0.95)
-    return out.select(*keys, F.round("estimate", 3).alias("p95_us"))
+    rows = R.durations(records(spark, d, "requests"), R.SPECS["req"], "hour")
+    return sketch.percentile(sketch.add_ranged(rows, keys), keys, 0.95).select(*keys, F.round("estimate", 3).alias("p95_us"))
 
 
 def _p95_sql():
@@ -63,12 +55,7 @@ def percentiles(spark, d, name, quantiles=(0.5, 0.95, 0.99)):
     spec = R.SPECS[name]
     key = list(spec.keys)[:1]
     rows = R.durations(records(spark, d, spec.source), spec)
-    cells = sketch.add(rows, key).join(rows.groupBy(*key).agg(F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration")), key)
-    out = None
-    for q in quantiles:
-        one = sketch.percentile(cells, key, q).select(*key, F.lit(q).alias("q"), F.round("estimate", 3).alias("us"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return sketch.percentiles(sketch.add_ranged(rows, key), key, quantiles).select(*key, "q", F.round("estimate", 3).alias("us"))
 
 
 def _percentiles_sql(name, quantiles=(0.5, 0.95, 0.99)):
@@ -118,11 +105,89 @@ def sample_counts(spark, d):
 
 
 def covered(spark, d):
-    """Groups whose sketch holds at least the histogram's mass."""
+    """Groups by whether their sketch holds at least the histogram's mass; sketches began on a date."""
     rows = R.durations(records(spark, d, "jobs"), R.SPECS["job"])
-    a = sketch.add(rows, ["group_hash"]).groupBy("group_hash").agg(F.sum("cnt").alias("samples"))
-    b = rows.groupBy("group_hash").agg(F.count(histogram.bin_of(F.col("duration"))).alias("mass"))
-    return a.join(b, "group_hash").select("group_hash", "samples", "mass", (F.col("samples") >= F.col("mass")).alias("covered"))
+    began = rows.where(F.col("created_at") >= F.when(F.col("group_hash") == F.md5(F.lit("1-URGENT").cast("binary")), F.lit("1995-01-01")).otherwise("1900-01-01").cast("timestamp_ntz"))
+    a = sketch.add(began, ["group_hash"]).groupBy("group_hash").agg(F.sum("cnt").alias("samples"))
+    bins = rows.groupBy("group_hash", histogram.bin_of(F.col("duration")).alias("bin")).agg(F.count("*").alias("n"))
+    b = bins.groupBy("group_hash").agg(F.sum("n").alias("mass"))
+    samples = F.coalesce("samples", F.lit(0))
+    return b.join(a, "group_hash", "left").select("group_hash", samples.alias("samples"), "mass", (samples >= F.col("mass")).alias("covered"))
+
+
+_OLD = "timestamp '2024-01-15 00:00:00'"
+
+
+def mixed_percentiles(spark, d):
+    """p95 by group and day where days before a date hold histogram bins alone and later ones sketches."""
+    keys = ["group_hash", "bucket_start"]
+    rows = R.durations(records(spark, d, "requests"), R.SPECS["req"], "day")
+    late = F.col("bucket_start") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    bins = rows.groupBy(*keys, histogram.bin_of(F.col("duration")).alias("bin")).agg(F.count("*").alias("n"))
+    cells = sketch.with_bins(sketch.add(rows.where(late), keys), bins, keys)
+    ranges = rows.groupBy(*keys).agg(F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"))
+    return sketch.percentile(cells.join(ranges, keys), keys, 0.95).select(*keys, F.round("estimate", 3).alias("p95_us"))
+
+
+def _mixed_sql():
+    rows = f"(select group_hash, date_trunc('day', created_at) as bucket_start, duration from {records_sql('requests')} r)"
+    rung = _rungs()
+    cells = f"""(select c.*, m.min_duration, m.max_duration from (
+      select group_hash, bucket_start, case when bucket_start >= {_OLD} then {sketch.index_sql('duration')} else {rung}[{histogram.bin_sql('duration')} + 1] end as idx, count(*) as cnt from {rows} x group by all) c
+      join (select group_hash, bucket_start, min(duration) as min_duration, max(duration) as max_duration from {rows} y group by all) m using (group_hash, bucket_start))"""
+    return f"select group_hash, bucket_start, round(estimate, 3) as p95_us from ({sketch.percentile_sql(cells, 'group_hash, bucket_start', 0.95)})"
+
+
+def _rungs():
+    e = histogram.EDGES
+    return "[" + ", ".join(str(sketch.index(m)) for m in (e[0] / 2, *((a * b) ** 0.5 for a, b in zip(e, e[1:])), e[-1])) + "]"
+
+
+def narrow_rollup(spark, d, grouped: bool = True):
+    """Percentile read over stored rollup cells: 200 groups of 336 hours each, merged by 50 groups or into one.
+
+    The shape of the published sketch aggregate figures: 67,200 rollup rows.
+    """
+    rows = records(spark, d, "queries").select((F.col("id") % 200).alias("route"), (F.expr("id div 200") % 336).alias("hour"), "duration")
+    stored = sketch.add_ranged(rows, ["route", "hour"])
+    key = [F.expr("route % 50").alias("k")] if grouped else [F.lit(0).cast("long").alias("k")]
+    cells = stored.groupBy(*key, "idx").agg(F.sum("cnt").alias("cnt"), F.min("min_duration").alias("min_duration"), F.max("max_duration").alias("max_duration"))
+    return sketch.percentiles(cells, ["k"], (0.5, 0.95)).select("k", "q", F.round("estimate", 3).alias("us"))
+
+
+def _narrow_sql(grouped: bool = True):
+    key = "id % 200 % 50" if grouped else "cast(0 as bigint)"
+    cells = f"(select k, idx, count(*) as cnt, min(min(duration)) over (partition by k) as min_duration, max(max(duration)) over (partition by k) as max_duration from (select {key} as k, {sketch.index_sql('duration')} as idx, duration from {records_sql('queries')} r) x group by k, idx)"
+    return " union all ".join(f"select k, cast({q} as double) as q, round(estimate, 3) as us from ({sketch.percentile_sql(cells, 'k', q)})" for q in (0.5, 0.95))
+
+
+def drifted(spark, d):
+    """An hourly rollup with one group's rows missing and another's counts wrong against the raw rows."""
+    spec = R.SPECS["req"]
+    rows = records(spark, d, "requests")
+    fresh = R.aggregate(rows, spec, "hour").groupBy("group_hash").agg(F.sum("call_count").alias("call_count"))
+    views, errors = (F.md5(F.lit(x).cast("binary")) for x in ("view", "error"))
+    stored = R.to_tier(R.aggregate(rows, spec), spec, "hour").groupBy("group_hash").agg(F.sum("call_count").alias("call_count"))
+    stored = stored.where(F.col("group_hash") != views).withColumn("call_count", F.col("call_count") + (F.col("group_hash") == errors).cast("long"))
+    return storage.drift(stored, fresh)
+
+
+_DRIFT_SQL = """with g as (select md5(event_type) as group_hash, event_type, count(*) as n from events group by all)
+select group_hash, n as call_count, 'b' as side from g where event_type in ('view', 'error')
+union all select group_hash, n + 1, 'a' from g where event_type = 'error'"""
+
+
+def tier_gaps(spark, d):
+    """Daily rows that do not hold their hours' sum, after one hour's rows were lost from the day."""
+    spec = R.SPECS["req"]
+    hour = R.aggregate(records(spark, d, "requests"), spec, "hour")
+    day = R.to_tier(hour.where("hour(bucket_start) <> 7"), spec, "day")
+    return storage.tier_gaps(hour, day, "day", ["group_hash", "environment"])
+
+
+_TIER_GAPS_SQL = f"""with r as (select group_hash, coalesce(environment, '') as environment, date_trunc('day', created_at) as bucket_start, hour(created_at) as h from {records_sql('requests')} x)
+select group_hash, environment, bucket_start, cast(count(*) as bigint) as expected, cast(case when count(*) filter (where h <> 7) > 0 then count(*) filter (where h <> 7) end as bigint) as stored
+from r group by all having count(*) filter (where h = 7) > 0"""
 
 
 def averages(spark, d, name):
@@ -156,10 +221,18 @@ def build() -> dict:
         lambda spark, d: R.histogram_wide(records(spark, d, "requests"), R.SPECS["req"], "day"),
         f"select coalesce(group_hash, '') as group_hash, date_trunc('day', created_at) as bucket_start, coalesce(environment, '') as environment, {wide} from {records_sql('requests')} r group by all",
     )
+    out["q_pctl_bins"] = (mixed_percentiles, _mixed_sql())
+    out["q_sketch_50"] = (narrow_rollup, _narrow_sql())
+    out["q_sketch_all"] = (partial(narrow_rollup, grouped=False), _narrow_sql(False))
+    out["j_drift"] = (drifted, _DRIFT_SQL)
+    out["m_tier_sum"] = (tier_gaps, _TIER_GAPS_SQL)
     out["a_hpct"] = (hist_percentile, _hist_percentile_sql())
     out["a_dds_up"] = (upconverted, _upconverted_sql())
     out["a_dds_cnt"] = (sample_counts, f"select group_hash, count(duration) as samples from {records_sql('requests')} r group by 1")
-    out["m_v1h"] = (covered, f"select group_hash, count(*) as samples, count(*) as mass, true as covered from {records_sql('jobs')} r where attempt_id is not null and duration is not null group by 1")
+    out["m_v1h"] = (
+        covered,
+        f"select group_hash, count(*) filter (where u) as samples, count(*) as mass, count(*) filter (where u) >= count(*) as covered from (select group_hash, queue <> '1-URGENT' or created_at >= timestamp '1995-01-01' as u from {records_sql('jobs')} r where attempt_id is not null and duration is not null) x group by 1",
+    )
     out["a_dds_val"] = (
         lambda spark, d: sketch.add(records(spark, d, "requests"), []).select("idx", "cnt", F.round(sketch.value_of(F.col("idx")), 6).alias("value")),
         f"select idx, count(*) as cnt, round(case idx when -1 then 0.0 when 1261 then 86400000000 else 2 * pow(cast(101 as double) / 99, idx) / (cast(101 as double) / 99 + 1) end, 6) as value from (select {sketch.index_sql('duration')} as idx from {records_sql('requests')} r) group by idx",

@@ -1,4 +1,8 @@
-"""Wire frames `length:version:token:payload`, their records, and normalised kinds."""
+"""Wire frames `length:version:token:payload`, their records, and normalised kinds.
+
+The length counts the bytes after its colon: version, token and payload. What
+follows them is not part of the frame.
+"""
 
 from __future__ import annotations
 
@@ -13,57 +17,80 @@ from quillon.functions.cachekey import template
 MAX_INFLATED = 200 << 20
 WIRE_TYPES = ("request", "query", "exception", "command", "queued-job", "job-attempt", "cache-event", "mail", "notification", "outgoing-request", "scheduled-task", "log", "user")
 
-#: Fields of the wire records; a missing one is null.
-RECORD = (
-    "t string, v int, timestamp string, deploy string, server string, _group string, user string, trace_id string, execution_id string, method string, url string, route_path string, route_methods string, status_code int, "
-    "duration bigint, sql string, connection string, class string, message string, code string, file string, line int, handled string, name string, command string, exit_code int, job_class string, queue string, status string, "
-    "attempt_id string, attempts int, type string, key string, store string, ttl int, mailable string, notification string, channel string, queued string, failed string, expression string, cron string, repeat_seconds int, "
-    "level string, context string, id string, username string"
-)
+#: Fields of the wire records, read as text; a missing one is null.
+FIELDS = (
+    "t v timestamp deploy server _group user trace_id execution_id method url route_path route_methods status_code duration sql connection class message code file line handled name command exit_code "
+    "job_class queue status attempt_id attempts type key store ttl mailable notification channel queued failed expression cron repeat_seconds level context id username"
+).split()
+#: Those that hold whole numbers; numbers may come as text or with a fraction.
+NUMBERS = ("status_code", "duration", "line", "exit_code", "attempts", "ttl", "repeat_seconds")
+_RECORD = "struct<" + ", ".join(f"`{f}`: string" for f in FIELDS) + ">"
 
 
 @F.pandas_udf(T.StringType())
 def inflated(payload: pd.Series) -> pd.Series:
-    """gzip payloads, known by their magic, as text; null beyond the size cap or on errors."""
+    """gzip payloads as text; null beyond the size cap, on errors and on invalid UTF-8."""
 
     def one(raw):
         if raw is None:
             return None
-        raw = bytes(raw)
-        if raw[:2] != b"\x1f\x8b":
-            return raw.decode("utf-8", "replace")
         try:
             z = zlib.decompressobj(31)
-            out = z.decompress(raw, MAX_INFLATED)
-            return None if z.unconsumed_tail else out.decode("utf-8", "replace")
-        except zlib.error:
+            out = z.decompress(bytes(raw), MAX_INFLATED)
+            return None if z.unconsumed_tail else out.decode("utf-8")
+        except (zlib.error, UnicodeDecodeError):
             return None
 
     return payload.map(one)
 
 
+def _latin(raw: Column) -> Column:
+    """One character for each byte, so that positions in the text are bytes'."""
+    return F.decode(raw, "ISO-8859-1")
+
+
+def _declared(text: Column) -> Column:
+    digits = F.regexp_extract(F.substring_index(text, ":", 1), r"^[ \t\n\r\x0B\f]*\+?([0-9]+)", 1)
+    return F.coalesce(digits.try_cast("long"), F.lit(0))
+
+
 def complete(raw: Column) -> Column:
     """The frame holds as many bytes as its length says."""
-    head = F.substring_index(raw.cast("string"), ":", 1)
-    return raw.cast("string").contains(":") & (F.octet_length(raw) >= F.length(head) + 1 + F.coalesce(head.try_cast("long"), F.lit(0)))
+    text = _latin(raw)
+    return (F.instr(text, ":") > 0) & (F.octet_length(raw) >= F.instr(text, ":") + _declared(text))
 
 
 def parse(frames: DataFrame, raw: str = "raw", gzip: bool = True) -> DataFrame:
-    """frames with version, token, text, and kind: records, ping, error, or null for no frame.
+    """frames with version, token, text, and kind: records, ping, error for an unsupported version, or null.
 
-    raw is binary. The header is ASCII, so its separators are found in bytes
-    that never lie inside the payload's own.
+    raw is binary. A payload is gzip if its first two bytes say so, else text;
+    it must be valid UTF-8 and PING, or one JSON array or object with nothing
+    behind it. Only gzip payloads go to Python.
     """
-    text = F.decode(F.substring(F.col(raw), 1, 128), "ISO-8859-1")
-    length = F.split_part(text, F.lit(":"), F.lit(1))
-    version, token = F.split_part(text, F.lit(":"), F.lit(2)), F.split_part(text, F.lit(":"), F.lit(3))
-    start = F.length(length) + F.length(version) + F.length(token) + 4
-    valid = text.rlike("^[1-9][0-9]*:[^:]*:[^:]*:")
-    body = F.substring(F.col(raw), start, F.octet_length(F.col(raw)))
-    out = frames.withColumns({"version": F.when(valid, version), "token": F.when(valid, token), "payload": F.when(valid, body)})
-    out = out.withColumn("text", inflated("payload") if gzip else F.col("payload").cast("string"))
-    kind = F.when(~valid, None).when(F.col("version") != "v1", "error").when(F.col("text") == "PING", "ping").when(F.col("text").rlike(r"^\s*\[") & F.expr("is_valid_utf8(text) and try_parse_json(text) is not null"), "records").otherwise("error")
-    return out.withColumn("kind", kind)
+    text = _latin(F.col(raw))
+    part = lambda n, k: F.regexp_extract(text, "^" + "([^:]*):" * n, k)
+    out = _bound(frames, _declared=_declared(text), _head=F.octet_length(part(1, 1)), _v=F.when(text.rlike("^[^:]*:[^:]*:"), part(2, 2)), _t=F.when(text.rlike("^[^:]*:[^:]*:[^:]*:"), part(3, 3)))
+    room = F.col("_declared") - F.length("_v") - 1  # bytes behind the version's colon
+    framed = room - F.length("_t") - 1 >= 0
+    start = F.col("_head") + F.length("_v") + F.length("_t") + 4
+    payload = F.substring(F.col(raw), start, (room - F.length("_t") - 1).cast("int"))
+    out = _bound(out, version=F.when(room >= 0, F.col("_v")), token=F.when(framed, F.col("_t")), payload=F.when(framed, payload)).drop("_declared", "_head", "_v", "_t")
+    plain = F.try_validate_utf8(F.col("payload").cast("string"))
+    if gzip:
+        zipped = F.substring("payload", 1, 2) == F.unhex(F.lit("1F8B"))
+        out = out.withColumn("_inflated", inflated(F.when(zipped, F.col("payload"))))
+        out = _bound(out, text=F.when(zipped, F.col("_inflated")).otherwise(plain)).drop("_inflated")
+    else:
+        out = _bound(out, text=plain)
+    alone = F.concat(F.lit("["), "text", F.lit("]"))  # nothing may follow the value
+    json = F.col("text").rlike(r"^[ \t\n\r]*[\[{]") & F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1)
+    kind = F.when(F.col("version") != "v1", "error").when(F.col("payload").isNull(), None).when(F.col("text") == "PING", "ping").when(json, "records")
+    return _bound(out, kind=kind)
+
+
+def _bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row, however often later expressions use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def authorised(parsed: DataFrame, token: str) -> DataFrame:
@@ -71,14 +98,26 @@ def authorised(parsed: DataFrame, token: str) -> DataFrame:
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
-    """Frames that hold no records: what a quarantine keeps."""
+    """Frames that hold no records, whatever their token: what a quarantine keeps."""
     return parsed.where("kind is null or kind = 'error'")
 
 
+def _listed(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """Records of known type as text fields, with _error, the number fields that hold no number."""
+    one = F.when(F.col("text").rlike(r"^[ \t\n\r]*\["), F.from_json("text", f"array<{_RECORD}>")).otherwise(F.map_values(F.from_json("text", f"map<string, {_RECORD}>")))
+    rows = parsed.where("kind = 'records'").select(*keep, F.explode(one).alias("r")).select(*keep, "r.*").where(F.col("t").isin(*WIRE_TYPES))
+    wrong = [F.when(F.col(c).isNotNull() & scalars.whole(F.col(c)).isNull(), F.lit(c)) for c in NUMBERS]
+    return rows.withColumn("_error", F.concat_ws(",", *wrong))
+
+
 def records(parsed: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
-    """One row a record of known type; records without a type are dropped."""
-    listed = parsed.where("kind = 'records'").select(*keep, F.explode(F.from_json("text", f"array<struct<{RECORD.replace(' string', ': string').replace(' bigint', ': bigint').replace(' int', ': int')}>>")).alias("r"))
-    return listed.select(*keep, "r.*").where(F.col("t").isin(*WIRE_TYPES))
+    """One row a record of known type, numbers cast; those whose numbers are none are left to rejected()."""
+    return _listed(parsed, keep).where("_error = ''").drop("_error").withColumns({c: scalars.whole(F.col(c)) for c in NUMBERS})
+
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    """Records with a number field that holds no number, as JSON, and the fields' names: rows that would fail a batch."""
+    return _listed(parsed, []).where("_error <> ''").select(F.to_json(F.struct(*FIELDS)).alias("record"), F.col("_error").alias("fields"))
 
 
 def type_counts(parsed: DataFrame) -> DataFrame:

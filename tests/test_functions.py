@@ -63,18 +63,65 @@ def test_binary_cache_keys(spark):
 
 
 def test_frames(spark):
-    def frame(body, version=b"v1"):
-        return bytearray(str(len(body)).encode() + b":" + version + b":tok:" + body)
+    def frame(body, version=b"v1", token=b"tok"):
+        content = version + b":" + token + b":" + body
+        return bytearray(str(len(content)).encode() + b":" + content)
 
     record = json.dumps([{"t": "request", "duration": 5}, {"x": 1}, {"t": "nope"}]).encode()
-    cases = [frame(record), frame(b"PING"), frame(record, b"v2"), bytearray(b"nocolon"), bytearray(b"0:v1:tok:x"), frame(b"{bad"), frame(b'"s"'), frame(gzip.compress(record))]
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, raw binary")
+    cases = [
+        (frame(record), "records"), (frame(b"PING"), "ping"), (frame(record, b"v2"), "error"), (bytearray(b"nocolon"), None), (bytearray(b"0:v1:tok:x"), None), (frame(b"{bad"), None), (frame(b'"s"'), None), (frame(gzip.compress(record)), "records"),
+        (frame(gzip.compress(record)[:-9] + b"xxxxxxxxx"), None), (frame(b'[{"t":"log","message":"\xff"}]'), None), (frame(record + b"XX"), None), (frame(record + b",[]"), None), (frame(record) + b"behind", "records"), (frame(record, token=b"t" * 150), "records"),
+        (bytearray(b"5:" + frame(record)[3:]), None), (bytearray(b""), None), (bytearray(b":v1:tok:[]"), None), (bytearray(b"5:v1:to"), None), (frame(b'{"a":{"t":"log"}}'), "records"), (frame(b"[]"), "records"), (frame(gzip.compress(b"PING")), "ping"),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw binary")
     parsed = frames.parse(df)
-    assert [r.kind for r in parsed.orderBy("i").collect()] == ["records", "ping", "error", None, None, "error", "error", "records"]
-    assert frames.records(parsed).count() == 2
-    assert frames.dead_letters(parsed).count() == 5
+    assert [r.kind for r in parsed.orderBy("i").collect()] == [k for _, k in cases]
+    assert frames.records(parsed).count() == 5
+    assert frames.dead_letters(parsed).count() == sum(k in (None, "error") for _, k in cases)
     one = frames.normalise(frames.records(parsed), "requests", None, 1_700_000_000).first()
     assert (one.method, one.url, one.status_code, one.ts_us) == ("GET", "/", 200, 1_700_000_000_000_000)
+    assert frames.parse(df, gzip=False).where("i = 7").first().kind is None
+
+
+def test_numbers_of_records(spark):
+    rows = [{"t": "request", "status_code": v, "duration": 7} for v in ("503", 12.5, 7.0, "x", None, True, [1])]
+    body = json.dumps(rows).encode()
+    content = b"v1:tok:" + body
+    parsed = frames.parse(spark.createDataFrame([(bytearray(str(len(content)).encode() + b":" + content),)], "raw binary"))
+    got = [r.status_code for r in frames.normalise(frames.records(parsed), "requests", None, 0).collect()]
+    assert got == [503, 12, 7, 200, 1]
+    assert [r.fields for r in frames.rejected(parsed).collect()] == ["status_code", "status_code"]
+
+
+def test_host_metrics(spark, tmp_path):
+    (tmp_path / "stat").write_text("cpu  10 0 10 70 5 3 2 0\ncpu0 1\n")
+    (tmp_path / "meminfo").write_text("MemTotal: 200 kB\nMemFree: 1 kB\nMemAvailable: 50 kB\n")
+    sample = health.host_sample(str(tmp_path))
+    assert sample == {"total": 100, "idle": 70, "memory_total": 204_800, "memory_available": 51_200}
+    samples = spark.createDataFrame([(1, 100, 70), (2, 200, 95), (3, 200, 95)], "tick int, total bigint, idle bigint").withColumn("host", F.lit("h"))
+    assert [r.usage_pct for r in health.cpu_usage(samples, ["host"], "tick").orderBy("tick").collect()] == [None, 75.0, 0.0]
+    assert spark.range(1).select(health.memory_usage(F.lit(200), F.lit(50)).alias("p")).first().p == 75.0
+
+
+def test_lifecycle_forgets(spark):
+    ticks = spark.createDataFrame([("c", t) for t in (1, 2, 3, 500, 501)], "code string, tick bigint").withColumn("host", F.lit("h"))
+    assert [(r.first_tick, r.alerted, r.resolves) for r in health.lifecycle(ticks, ["host"], "tick", now_tick=510).collect()] == [(500, True, False)]
+    assert health.lifecycle(ticks, ["host"], "tick").count() == 2
+
+
+def test_blocked_order_equals_plain(spark):
+    rng = random.Random(3)
+    rows = [(k, i, rng.randrange(100)) for k in ("a", None) for i in rng.sample(range(5000), 300)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v int")
+    for k in ("a", None):
+        own = [v for _, v in sorted((i, v) for x, i, v in rows if x == k)]
+        mean = own[0]
+        for v in own[1:]:
+            mean = 0.3 * v + 0.7 * mean
+        same = F.col("k").eqNullSafe(F.lit(k))
+        assert abs(windows.ewma(df, ["k"], "i", "v", block=64).where(same).first().ewma - mean) < 1e-9
+        got = [r.delta for r in windows.rates(df, ["k"], "i", "v", block=64).where(same).orderBy("i").collect()]
+        assert got == [0] + [max(b - a, 0) for a, b in zip(own, own[1:])]
 
 
 def test_concurrency_golden(spark):
