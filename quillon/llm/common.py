@@ -54,11 +54,11 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df written as Parquet and read again."""
+    def keep(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        """df written as Parquet and read again. Large bytes are worth "zstd", which takes more memory outside the heap."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._quillon_path = path
         return kept

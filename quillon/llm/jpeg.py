@@ -413,5 +413,5 @@ def read_media(media: DataFrame, id_col="doc_id", media_col="media") -> DataFram
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = Scratch(spark, "media").keep(store_media(common.read(spark, sf_dir, "documents")))
+    stored = Scratch(spark, "media").keep(store_media(common.read(spark, sf_dir, "documents")), "zstd")
     return read_media(stored)

@@ -24,6 +24,8 @@ from quillon.llm.common import Scratch
 MIN_WORDS = 50
 #: Words in an anchor of a passage; shorter passages take all their words.
 GRAM = 16
+#: Bytes of text that a task hashes at once.
+CHUNK = 1 << 18
 
 
 def _rolled(words: np.ndarray, width: int) -> np.ndarray:
@@ -38,7 +40,7 @@ def _anchors(batch, column: int, min_words: int):
     """For slices of a batch: rows, bytes, offsets, words, each row's first word, grams, and per row the anchor of each run."""
     gram = min(GRAM, min_words)
     data, off = common.text_bytes(batch.column(column))
-    for i, j in common.slices(off, 1 << 20):
+    for i, j in common.slices(off, CHUNK):
         own, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
         words, first = common.word_hashes(own, at, fold=False)
         grams, anchors = _rolled(words, gram), []

@@ -58,7 +58,7 @@ def write_archive(pages: DataFrame, scratch: Scratch, id_col="page_id", url_col=
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
-    payloads = scratch.keep(rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("id").alias("owner")))
+    payloads = scratch.keep(rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("id").alias("owner")), "zstd")
     light = rows.select("id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     facts = light.join(payloads.select("sha256", "owner"), "sha256")
     revisit = (F.col("size") >= LEAST_REVISIT) & ~F.col("id").eqNullSafe(F.col("owner"))
