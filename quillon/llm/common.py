@@ -13,9 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at once, where the session has no number of
+#: its own: documents are long, and both sides hold such a batch beside the heap.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once a session."""
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH_CONF) and spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     if getattr(context, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
