@@ -131,15 +131,15 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame], tole
     for d in DIMENSIONS:
         now = now.join(targets[d].withColumnRenamed("t", f"t_{d}"), d)
     now = now.withColumn("w", F.col("tokens") / F.lit(float(total)))
-    columns = now.columns
+    columns, before = now.columns, []
     while done < sweeps:
-        own = now.select(columns)
-        for d in DIMENSIONS:
-            factor = own.groupBy(d, f"t_{d}").agg(added("w").alias("s")).select(d, F.when(F.col("s") > 0, F.col(f"t_{d}") / F.col("s")).otherwise(0.0).alias(f"f_{d}"))
-            own = own.join(factor, d).withColumn("w", F.col("w") * F.col(f"f_{d}"))
-        before, now, done = now, scratch.keep(own), done + 1
-        if done > 1:
-            scratch.drop(before)
+        now = now.select(columns)
+        for d in DIMENSIONS:  # a table for each, so that plans stay short
+            factor = now.groupBy(d, f"t_{d}").agg(added("w").alias("s")).select(d, F.when(F.col("s") > 0, F.col(f"t_{d}") / F.col("s")).otherwise(0.0).alias(f"f_{d}"))
+            scaled = scratch.keep(now.join(factor, d).withColumn("w", F.col("w") * F.col(f"f_{d}")))
+            scratch.drop(*before)
+            now, before = scaled, [scaled]
+        done += 1
         last, gap = gap, now.where("w > 0").agg(F.max(F.greatest(*[F.abs(F.col(f"f_{d}") - 1) for d in DIMENSIONS]))).first()[0] or 0.0
         if gap <= tolerance or (done > 2 and gap > (1 - STALL) * last):
             break

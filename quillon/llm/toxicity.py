@@ -26,7 +26,7 @@ SAMPLE_PER_CLASS = 1000
 #: passed over for the next.
 SAMPLE_BYTES = 32 << 20
 #: Rows that the fit spreads out at a time.
-DENSE_ROWS = 256
+DENSE_ROWS = 64
 EPOCHS, RATE, DECAY = 100, 0.1, 1e-4
 CHUNK = 1 << 20
 _SPACE = np.arange(256, dtype=np.uint8)
