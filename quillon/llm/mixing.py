@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from quillon.llm import common
 from quillon.llm.common import Scratch
@@ -123,24 +123,30 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame], tole
     """Scales the cells to each marginal in turn, one aggregate and join for each.
 
     Marginals that no weights of these cells can meet at once leave a gap,
-    which is returned. Sums are rounded, so that their order decides nothing.
+    which is returned; the write of a sweep's last table measures it. Sums are
+    rounded, so that their order decides nothing. Without cells nothing is raked.
     """
-    total = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 1
+    tokens = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    total = tokens or 1
     added = lambda c: F.sum(F.round(c, 18).cast("decimal(38,18)")).cast("double")
-    now, gap, done = cells, float("inf"), 0
+    now, gap, done = cells, float("inf") if tokens else 0.0, 0
     for d in DIMENSIONS:
         now = now.join(targets[d].withColumnRenamed("t", f"t_{d}"), d)
     now = now.withColumn("w", F.col("tokens") / F.lit(float(total)))
     columns, before = now.columns, []
-    while done < sweeps:
-        now = now.select(columns)
+    while tokens and done < sweeps:
+        now, seen = now.select(columns), Observation()
         for d in DIMENSIONS:  # a table for each, so that plans stay short
             factor = now.groupBy(d, f"t_{d}").agg(added("w").alias("s")).select(d, F.when(F.col("s") > 0, F.col(f"t_{d}") / F.col("s")).otherwise(0.0).alias(f"f_{d}"))
-            scaled = scratch.keep(now.join(factor, d).withColumn("w", F.col("w") * F.col(f"f_{d}")))
+            scaled = now.join(factor, d).withColumn("w", F.col("w") * F.col(f"f_{d}"))
+            if d == DIMENSIONS[-1]:
+                off = F.greatest(*[F.abs(F.col(f"f_{x}") - 1) for x in DIMENSIONS])
+                scaled = scaled.observe(seen, F.max(F.when(F.col("w") > 0, off)).alias("gap"))
+            scaled = scratch.keep(scaled)
             scratch.drop(*before)
             now, before = scaled, [scaled]
         done += 1
-        last, gap = gap, now.where("w > 0").agg(F.max(F.greatest(*[F.abs(F.col(f"f_{d}") - 1) for d in DIMENSIONS]))).first()[0] or 0.0
+        last, gap = gap, seen.get["gap"] or 0.0
         if gap <= tolerance or (done > 2 and gap > (1 - STALL) * last):
             break
     logging.getLogger(__name__).info("raked in %d sweeps, largest gap %.2g of a target", done, gap)
