@@ -78,7 +78,9 @@ def busy_workers(us: Column) -> Column:
 
 
 def saturation_message(percent: int, workers: int, minutes: int, worst_us: Column) -> Column:
-    return F.format_string(f"Avg concurrency held at ≥{percent}%% of {workers} workers for {minutes} consecutive minutes (worst minute: %.1f busy)", busy_workers(worst_us))
+    """Busy workers to one decimal as C's %.1f rounds them: the double itself, ties to even; null if there are none."""
+    worst = F.call_function("format_number", busy_workers(worst_us), F.lit("0.0"))  # format_string rounds shortest digits, halves up
+    return F.concat(F.lit(f"Avg concurrency held at ≥{percent}% of {workers} workers for {minutes} consecutive minutes (worst minute: "), worst, F.lit(" busy)"))
 
 
 def is_power_of_two(n: Column) -> Column:

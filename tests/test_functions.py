@@ -150,6 +150,14 @@ def test_scalars(spark):
     assert [tuple(r) for r in df.select(scalars.truthy(F.col("a")), scalars.null_placeholder(F.col("b"))).collect()] == [(True, None), (False, "x")]
 
 
+def test_saturation_message_rounds_the_double_itself(spark):
+    """Ties go to the even digit, and 6.05 is below its tie as a double; null stays null, as the SQL's printf has it."""
+    shown = {75_000_000: "1.2", 105_000_000: "1.8", 363_000_000: "6.0", 435_000_000: "7.2", 87_000_000: "1.4", 3_000_000: "0.1", 0: "0.0", -2_000_000: "-0.0", 10**17: "1666666666.7", None: None}
+    df = spark.createDataFrame([(us,) for us in shown], "us bigint").select("us", scalars.saturation_message(90, 4, 2, F.col("us")).alias("m"))
+    before = "Avg concurrency held at ≥90% of 4 workers for 2 consecutive minutes (worst minute: "
+    assert {r.us: r.m for r in df.collect()} == {us: None if text is None else f"{before}{text} busy)" for us, text in shown.items()}
+
+
 def test_dictionary_round_trip_and_trace(spark):
     df = spark.createDataFrame([("x", "T1", "t1"), (None, "T2", "t1"), ("y", "T3", None)], "v string, trace_id string, execution_id string")
     entries = storage.dictionary(df.select(F.lit("k").alias("kind"), F.col("v").alias("value")))
