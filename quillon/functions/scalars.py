@@ -56,8 +56,13 @@ def route_name(methods_json: Column, path: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """KB, MB or GB to one decimal; below a megabyte KB."""
-    shown = lambda size, unit: F.concat(F.regexp_replace(F.round(n / float(size), 1).cast("string"), r"\.0$", ""), F.lit(f" {unit}"))
+    """KB, MB or GB to one decimal, halves away from zero and never an exponent; below a megabyte KB."""
+
+    def shown(size, unit):
+        tenths = F.abs(n / float(size)) * 10
+        rounded = F.floor(tenths) + (tenths - F.floor(tenths) >= 0.5).cast("long")  # F.round goes by shortest digits
+        return F.concat(F.when(n < 0, "-").otherwise(""), F.call_function("format_number", rounded / 10.0, F.lit("0.#")), F.lit(f" {unit}"))
+
     return F.when(n < 1 << 20, shown(1 << 10, "KB")).when(n < 1 << 30, shown(1 << 20, "MB")).otherwise(shown(1 << 30, "GB"))
 
 

@@ -158,6 +158,16 @@ def test_saturation_message_rounds_the_double_itself(spark):
     assert {r.us: r.m for r in df.collect()} == {us: None if text is None else f"{before}{text} busy)" for us, text in shown.items()}
 
 
+def test_human_bytes_of_any_long(spark):
+    """As the SQL has them: no exponents, halves of ten times the double away from zero, the sign of what rounds to zero."""
+    shown = {
+        0: "0 KB", 256: "0.3 KB", -256: "-0.3 KB", -10: "-0 KB", -2048: "-2 KB", 1_048_575: "1024 KB", 1_048_576: "1 MB", 1_073_741_824: "1 GB", 3_750_000_000: "3.5 GB", 2_233_509_212_271_411: "2080117.6 GB",
+        10_737_418_240_000_000: "10000000 GB", 2**63 - 1: "8589934592 GB", -(2**63): "-9007199254740992 KB", None: None,
+    }
+    df = spark.createDataFrame([(n,) for n in shown], "n bigint").select("n", scalars.human_bytes(F.col("n")).alias("s"))
+    assert {r.n: r.s for r in df.collect()} == shown
+
+
 def test_dictionary_round_trip_and_trace(spark):
     df = spark.createDataFrame([("x", "T1", "t1"), (None, "T2", "t1"), ("y", "T3", None)], "v string, trace_id string, execution_id string")
     entries = storage.dictionary(df.select(F.lit("k").alias("kind"), F.col("v").alias("value")))
